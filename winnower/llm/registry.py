@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import op10_media_columns
+from .simhash import op6_simhash
 from .warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
+    "op6_simhash": op6_simhash,
     "op10_media_columns": op10_media_columns,
 }
 
