@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .media import op10_media_columns
 from .simhash import op6_simhash
+from .toxicity import op2_toxicity
 from .warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op6_simhash": op6_simhash,
     "op10_media_columns": op10_media_columns,
