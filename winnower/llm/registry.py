@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import op10_media_columns
+from .pii import op4_pii
 from .simhash import op6_simhash
 from .toxicity import op2_toxicity
 from .warc import op3_warc
@@ -14,6 +15,7 @@ from .warc import op3_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
+    "op4_pii": op4_pii,
     "op6_simhash": op6_simhash,
     "op10_media_columns": op10_media_columns,
 }
