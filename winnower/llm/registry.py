@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .media import op10_media_columns
 from .pii import op4_pii
+from .secrets import op7_secrets
 from .simhash import op6_simhash
 from .toxicity import op2_toxicity
 from .warc import op3_warc
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
     "op6_simhash": op6_simhash,
+    "op7_secrets": op7_secrets,
     "op10_media_columns": op10_media_columns,
 }
 
