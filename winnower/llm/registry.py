@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import op10_media_columns
+from .packing import op5_packing
 from .pii import op4_pii
 from .secrets import op7_secrets
 from .simhash import op6_simhash
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
+    "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
     "op10_media_columns": op10_media_columns,
