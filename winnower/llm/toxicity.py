@@ -203,11 +203,11 @@ def induce(rows: DataFrame, n_docs: int, n_toxic: int) -> dict[str, float]:
     base = n_toxic / n_docs
     counts = staged(rows.mapInArrow(_count_documents, "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "terms")
     tested = counts.count()
-    # The test by documents, as an expression; what passes is ranked by evidence and bounded by the model's size.
+    # The test by documents, as an expression, for terms that are toxic more often than not; what passes is ranked by evidence and bounded by the model's size.
     rate = F.col("t") / F.col("n")
     rest = F.when(F.col("n") > F.col("t"), (F.col("n") - F.col("t")) * F.log((1 - rate) / (1 - base))).otherwise(0.0)
     evidence = F.when(rate > base, 2 * (F.col("t") * F.log(rate / base) + rest)).otherwise(0.0)
-    ranked = counts.filter("t > 0").withColumn("g", evidence).filter(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()
+    ranked = counts.filter("t >= 0.5 * n").withColumn("g", evidence).filter(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()
     # False discoveries at the rate ALPHA at most (Benjamini and Hochberg), p bounded by exp(-g / 2).
     passed = max((k for k, r in enumerate(ranked, 1) if math.exp(-r.g / 2) <= ALPHA * k / tested), default=0)
     names = [r.term for r in ranked[:passed]]
