@@ -11,10 +11,13 @@ from .packing import op5_packing
 from .pii import op4_pii
 from .secrets import op7_secrets
 from .simhash import op6_simhash
+from .substring import SQL as SUBSTRING_SQL
+from .substring import op1_substring_dedup
 from .toxicity import op2_toxicity
 from .warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
@@ -24,4 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": SUBSTRING_SQL,
+}
