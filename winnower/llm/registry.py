@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op8_embeddings
 from .media import op10_media_columns
 from .packing import op5_packing
 from .pii import op4_pii
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
+    "op8_embeddings": op8_embeddings,
     "op10_media_columns": op10_media_columns,
 }
 
