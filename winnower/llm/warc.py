@@ -236,9 +236,10 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     raise WarcError(f"{name} holds {seen} records in {total} bytes; the manifest has {n} in {size}")
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    # A given number of partitions, for file names are too small to be dealt out by their size.
+    # A given number of partitions, for file names are too small to be dealt out by their size; by a hash, for Spark
+    # would otherwise stay with the partitions of the aggregate, which it coalesces.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return files.select("file", "size", "n").repartition(tasks, "file").mapInArrow(read, RECORD)
+    return files.select("file", "size", "n").repartition(tasks, F.xxhash64("file")).mapInArrow(read, RECORD)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
