@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embeddings import op8_embeddings
 from .media import op10_media_columns
+from .mixing import op9_mixing
 from .packing import op5_packing
 from .pii import op4_pii
 from .secrets import op7_secrets
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
     "op8_embeddings": op8_embeddings,
+    "op9_mixing": op9_mixing,
     "op10_media_columns": op10_media_columns,
 }
 
