@@ -58,28 +58,34 @@ def _spans(text: Column, pattern: str, rank: int, *, group: int = 0, least: int
     return F.when(F.rlike(text, F.lit(pattern)), kept).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A written table with a row for each document: row, id, and spans by role, without the text."""
+def with_spans(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with a column for each role's spans, and ``base``: the base spans in order."""
     empty = F.expr(f"cast(array() as {SPANS})")
-    found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    value = F.col(text)
     found = (
-        found.withColumn("assign", _spans(F.col("text"), ASSIGN, 0, group=2, least=ASSIGN_CHARS))
-        .withColumn("access", _spans(F.col("text"), ACCESS, 1))
-        .withColumn("hex", _spans(F.col("text"), HEX, 2))
-        .withColumn("named", _spans(F.col("text"), IDENTIFIER, 4, group=2, least=3, most=64))
+        docs.withColumn("assign", _spans(value, ASSIGN, 0, group=2, least=ASSIGN_CHARS))
+        .withColumn("access", _spans(value, ACCESS, 1))
+        .withColumn("hex", _spans(value, HEX, 2))
+        .withColumn("named", _spans(value, IDENTIFIER, 4, group=2, least=3, most=64))
     )
-    found = found.withColumn("endpoint", F.when(F.size("named") > 0, _spans(F.col("text"), ENDPOINT, 5)).otherwise(empty))
+    found = found.withColumn("endpoint", F.when(F.size("named") > 0, _spans(value, ENDPOINT, 5)).otherwise(empty))
     linked = (F.size("access") > 0) | ((F.size("named") > 0) & (F.size("endpoint") > 0))
-    found = found.withColumn("opaque", F.when(linked, _opaque()).otherwise(empty)).withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
+    found = found.withColumn("opaque", F.when(linked, _opaque(value)).otherwise(empty)).withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     apart = lambda c: F.filter(c, lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    found = found.withColumn("named", apart("named")).withColumn("opaque", apart("opaque"))
+    return found.withColumn("named", apart("named")).withColumn("opaque", apart("opaque"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A written table with a row for each document: row, id, text_hash, and spans by role, without the text."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = with_spans(rows, "text").withColumn("text_hash", F.xxhash64("text"))
     return staged(found.drop("text").withColumn("row", F.monotonically_increasing_id()), "secrets")
 
 
-def _opaque() -> Column:
+def _opaque(text: Column) -> Column:
     """Tokens of a secret's length that mix digits with letters."""
-    runs = _spans(F.col("text"), OPAQUE, 3, least=OPAQUE_CHARS[0], most=OPAQUE_CHARS[1])
-    value = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
+    runs = _spans(text, OPAQUE, 3, least=OPAQUE_CHARS[0], most=OPAQUE_CHARS[1])
+    value = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
     return F.filter(runs, lambda s: value(s).rlike("[0-9]") & value(s).rlike("[A-Za-z]"))
 
 
@@ -119,6 +125,33 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, scope: int = SCOPE) -> DataFrame:
+    """``docs`` with each secret of its texts replaced by its kind in angle brackets, and n_chars, where there is such a
+    column, the length of the new text. Overlapping spans are replaced once. Null texts stay null."""
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    found = scan(docs, id_col, text_col)
+    linked = link(found, scope).join(found.select("row", "doc_id", "text_hash"), "row")
+    # Rows of equal id and text have equal spans.
+    linked = linked.groupBy(key(F.col("doc_id")).alias("_key"), F.col("text_hash").alias("_hash")).agg(F.first("linked").alias("_linked"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), text.alias("_text"), key(F.col(id_col)).alias("_key"), F.xxhash64(text).alias("_hash"))
+    both = with_spans(rows, "_text").join(linked, ["_key", "_hash"], "left")
+    spans = F.array_sort(F.concat("base", F.coalesce("_linked", F.expr(f"cast(array() as {SPANS})"))))
+    names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
+
+    def add(done: Column, s: Column) -> Column:
+        name = F.element_at(names, s["rank"] + 1)
+        piece = F.concat(done["out"], F.substring(F.col("_text"), done["at"] + 1, s["start"] - done["at"]), name)
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(s["start"] >= done["at"], piece).otherwise(done["out"]).alias("out"))
+
+    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add)
+    new = F.concat(done["out"], F.substring(F.col("_text"), done["at"] + 1, F.length("_text")))
+    both = both.withColumn("_spans", spans).withColumn("_new", F.when(F.size("_spans") > 0, new).otherwise(F.col("_row")[text_col]))
+    number = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    columns = {text_col: F.col("_new"), **({"n_chars": F.when(F.size("_spans") > 0, F.length("_new").cast(number)).otherwise(F.col("_row")["n_chars"])} if number else {})}
+    return both.select(*(columns.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and linked spans of every whole text of ``documents``."""
     return find_secrets(table(spark, sf_dir, "documents"))

@@ -18,13 +18,15 @@ document wherever their fingerprints link. Columns beside id and text aren't rea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import staged, table
 from .graph import components
@@ -125,7 +127,7 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 
 
 def _forest(fp: np.ndarray, home: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges that connect what comparisons within one anchor's rows connect: a breadth-first spanning forest."""
+    """Places of rows whose links connect what comparisons within one anchor connect: a breadth-first spanning forest."""
     edges, left = [], np.arange(len(fp))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
@@ -134,74 +136,80 @@ def _forest(fp: np.ndarray, home: np.ndarray, bits: int) -> list[tuple[np.ndarra
             hit = (_popcount(fp[left] ^ fp[x]) <= bits) & (home[left] | home[x])
             if hit.any():
                 found = left[hit]
-                edges.append((np.full(len(found), fp[x]), fp[found]))
+                edges.append((np.full(len(found), x), found))
                 queue += found.tolist()
                 left = left[~hit]
     return edges
 
 
 def _links(bits: int):
-    """Rows (anchor, i, j, fp, home), each anchor's together, to links between fingerprints."""
+    """Rows (anchor, i, j, fp, home, node), each anchor's together, to links between nodes."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+        def flush(key: np.ndarray, fp: np.ndarray, home: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
             bounds = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
             sizes = np.diff(np.append(bounds, len(fp)))
             a, b = [], []
             small = np.repeat(sizes <= 16, sizes)
             for shift in range(1, int(min(16, sizes.max()))):  # pairs at this distance in the sorted rows
                 same = (key[shift:] == key[:-shift]).all(axis=1) & small[shift:] & (home[shift:] | home[:-shift])
-                x, y = fp[:-shift][same], fp[shift:][same]
-                near = (_popcount(x ^ y) <= bits) & (x != y)
-                a.append(x[near])
-                b.append(y[near])
+                near = _popcount(fp[:-shift][same] ^ fp[shift:][same]) <= bits
+                a.append(node[:-shift][same][near])
+                b.append(node[shift:][same][near])
             for low, n in zip(bounds[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
                 for x, y in _forest(fp[low : low + n], home[low : low + n], bits):
-                    a.append(x)
-                    b.append(y)
-            x, y = (np.concatenate(z or [np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64) for z in (a, b))
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+                    a.append(node[low + x])
+                    b.append(node[low + y])
+            x, y = (np.concatenate(z or [np.zeros(0, np.int64)]) for z in (a, b))
+            apart = x != y
+            return pa.RecordBatch.from_arrays([pa.array(x[apart]), pa.array(y[apart])], names=["a", "b"])
 
         held = None
         for batch in batches:
             key = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
             fp = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             home = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
+            node = batch.column(5).to_numpy(zero_copy_only=False).astype(np.int64)
             if held:
-                key, fp, home = np.concatenate([held[0], key]), np.concatenate([held[1], fp]), np.concatenate([held[2], home])
+                key, fp, home, node = (np.concatenate([x, y]) for x, y in zip(held, (key, fp, home, node), strict=True))
             if not len(fp):
                 continue
             last = int(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))[-1])
-            held = (key[last:], fp[last:], home[last:])
+            held = (key[last:], fp[last:], home[last:], node[last:])
             if last:
-                yield flush(key[:last], fp[:last], home[:last])
+                yield flush(key[:last], fp[:last], home[:last], node[:last])
         if held:
             yield flush(*held)
 
     return compare
 
 
-def fingerprint_links(fps: DataFrame, *, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect all distinct values of ``fp`` within ``bits`` (3 at most) of each other."""
-    if not 0 <= bits <= 3:
-        raise ValueError("anchors are laid out for at most 3 bits")
-    rows = staged(fps.select("fp").mapInArrow(_replicas, "anchor long, fp long, home boolean"), "anchors")
+def anchored_links(rows: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between nodes of a written table (anchor, fp, home, node) that meet at an anchor within ``bits``."""
     crowds = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     # Anchors of one fingerprint compare nothing. Of the rest, those beyond a block are dealt to pairs of blocks.
     met = rows.join(crowds, "anchor")
-    few = met.filter(F.col("n") <= block).select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "home")
+    few = met.filter(F.col("n") <= block).select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "home", "node")
     parts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
     many = (
         met.filter(F.col("n") > block)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "home")
+        .select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "home", "node")
     )
     dealt = few.unionByName(many).repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "fp")
     return dealt.mapInArrow(_links(bits), "a long, b long").distinct()
 
 
+def fingerprint_links(fps: DataFrame, *, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect all distinct values of ``fp`` within ``bits`` (3 at most) of each other."""
+    if not 0 <= bits <= 3:
+        raise ValueError("anchors are laid out for at most 3 bits")
+    rows = staged(fps.select("fp").mapInArrow(_replicas, "anchor long, fp long, home boolean"), "anchors")
+    return anchored_links(rows.withColumn("node", F.col("fp")), bits, block)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits: int = MAX_BITS) -> DataFrame:
     """id, fp and component_id (the smallest id reachable) of every row."""
     prints = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprint_of(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")), "prints")
@@ -216,6 +224,121 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_fp, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
+#: Similar documents: five words, a Jaccard similarity, and how far fingerprints of such texts lie apart at most.
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+SIMILAR_BITS = 14
+#: Bit samples of a fingerprint: so many, of 23 bits that a Golay word covers and a few that must agree.
+SAMPLES = 24
+AGREE = 5
+GOLAY_GENERATOR = 0b110001110101
+
+
+@lru_cache(maxsize=1)
+def golay_errors() -> tuple[np.ndarray, np.ndarray]:
+    """For each syndrome of the perfect [23,12] code (covering radius 3) the error patterns of weight 4 or less, the
+    lightest first, padded by the first; and the syndrome of each bit."""
+    units, x = [], 1
+    for _ in range(23):
+        units.append(x)
+        x <<= 1
+        if x >> 11:
+            x ^= GOLAY_GENERATOR
+    by: list[list[int]] = [[] for _ in range(2048)]
+    for weight in range(5):
+        for places in combinations(range(23), weight):
+            syndrome = pattern = 0
+            for p in places:
+                syndrome ^= units[p]
+                pattern |= 1 << p
+            by[syndrome].append(pattern)
+    return np.array([(x + x[:1] * 6)[:6] for x in by], np.uint32), np.array(units, np.uint32)
+
+
+def sampled_anchors(fp: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, 6) anchors within covering radius + 1 of a sample of the fingerprints' bits, and which of them count."""
+    places = np.random.default_rng(sample).permutation(64)[: 23 + AGREE]
+    errors, units = golay_errors()
+    word, syndrome, fixed = np.zeros(len(fp), np.uint32), np.zeros(len(fp), np.uint32), np.zeros(len(fp), np.int64)
+    for i, place in enumerate(places.tolist()):
+        bit = (fp >> np.uint64(place) & np.uint64(1)).astype(np.uint32)
+        if i < 23:
+            word |= bit << np.uint32(i)
+            syndrome ^= bit * units[i]
+        else:
+            fixed |= bit.astype(np.int64) << (i - 23)
+    found = errors[syndrome]
+    code = (word[:, None] ^ found).astype(np.int64)
+    used = np.ones(found.shape, bool)
+    used[:, 1:] = found[:, 1:] != found[:, :1]
+    return (code << AGREE | fixed[:, None]) * SAMPLES + sample, used
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, 50_000):
+            node, fp = (batch.column(i).slice(low, 50_000).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            for sample in range(SAMPLES):
+                key, used = sampled_anchors(fp.view(np.uint64), sample)
+                home = np.zeros(used.shape, bool)
+                home[:, 0] = True
+                n = used.sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(key[used]), pa.array(np.repeat(fp, n)), pa.array(home[used]), pa.array(np.repeat(node, n))], names=["anchor", "fp", "home", "node"])
+
+
+@F.arrow_udf(LongType())
+def content_of(text: pa.Array) -> pa.Array:
+    """A hash of a text's words: equal for texts that differ in case of A-Z and white space alone."""
+    return pa.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) - (1 << 63) for t in text.cast(pa.binary()).to_pylist()], pa.int64())
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def shingles_of(text: pa.Array) -> pa.Array:
+    """Distinct shingle hashes."""
+    return pa.array([np.unique(np.array(text_hashes(t, SIMILAR_WORDS), np.uint64)).view(np.int64) for t in text.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for i in range(batch.num_rows):
+            x, y = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= SIMILARITY * (len(x) + len(y) - both) and both > 0)
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, content and component of every row: documents linked by a Jaccard similarity of their five-word
+    shingles of SIMILARITY or more, as far as samples of their fingerprints meet at an anchor; every link is verified.
+
+    Texts of equal words are one node, whatever their number.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    prints = staged(docs.select(F.col(id_col).alias("doc_id"), content_of(text).alias("content"), fingerprint_of(text).alias("fp")), "similar")
+    nodes = prints.groupBy("content").agg(F.min("fp").alias("fp"))
+    rows = staged(nodes.mapInArrow(_sampled, "anchor long, fp long, home boolean, node long"), "anchors")
+    tried = staged(anchored_links(rows, SIMILAR_BITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    ends = tried.select(F.col("a").alias("content")).union(tried.select("b")).distinct()
+    sets = docs.select(content_of(text).alias("content"), text.alias("text")).join(ends, "content").groupBy("content").agg(F.min("text").alias("text"))
+    sets = staged(sets.select("content", shingles_of("text").alias("shingles")), "shingles")
+    side = lambda c: sets.select(F.col("content").alias(c), F.col("shingles").alias(f"shingles_{c}"))
+    links = tried.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_similar, "a long, b long")
+    groups = components(staged(links, "similar-links"))
+    return prints.join(groups.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "content", F.coalesce("component", "content").alias("component"))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of similar_groups(), that of the least id; null ids come last."""
+    rank = lambda c: F.coalesce(c, F.lit(2**63 - 1))
+    groups = similar_groups(docs, id_col, text_col).withColumn("rank", rank(F.col("doc_id")))
+    # Of each component the least id, and of that id's texts one.
+    best = groups.groupBy("component", "rank").agg(F.min("content").alias("_content")).groupBy("component").agg(F.min_by("_content", "rank").alias("_content"), F.min("rank").alias("_rank"))
+    keyed = docs.withColumn("_rank", rank(F.col(id_col))).withColumn("_content", content_of(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = keyed.join(best.select("_rank", "_content"), ["_rank", "_content"])
+    return kept.dropDuplicates(["_rank", "_content"]).select(*docs.columns)
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
