@@ -99,8 +99,8 @@ def fit_rates(rows: DataFrame, targets: list[float], *, least: float = 0.0, budg
     rate = F.lit(1.0)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def sums(rate: Column) -> tuple[list[float], list[list[float]]]:
-        moving = F.when(F.col("rate") > least, F.col("tokens")).otherwise(F.lit(0))
+    def sums(rate: Column, every: bool = False) -> tuple[list[float], list[list[float]]]:
+        moving = F.col("tokens") if every else F.when(F.col("rate") > least, F.col("tokens")).otherwise(F.lit(0))
         row = (
             rows.withColumn("rate", rate)
             .agg(*(F.coalesce(F.sum(F.col("rate") * F.col("tokens") * x), F.lit(0.0)) for x in p), *(F.coalesce(F.sum(moving * p[i] * p[j]), F.lit(0.0)) for i, j in pairs))
@@ -111,7 +111,7 @@ def fit_rates(rows: DataFrame, targets: list[float], *, least: float = 0.0, budg
             gram[i][j] = gram[j][i] = v
         return list(row[:k]), gram
 
-    totals, gram = sums(rate)
+    totals, gram = sums(rate, every=True)  # at the start every row may move
     natural = sum(totals)
     reachable = [t if m > 0 else 0.0 for t, m in zip(targets, totals, strict=True)]
     if not natural or not sum(reachable):
@@ -126,14 +126,19 @@ def fit_rates(rows: DataFrame, targets: list[float], *, least: float = 0.0, budg
             break
         ridge = 1e-3 * max(gram[i][i] for i in range(k)) or 1.0
         step = solve([[v + (ridge if i == j else 0.0) for j, v in enumerate(r)] for i, r in enumerate(gram)], miss)
-        change = F.lit(0.0)
-        for x, c in zip(p, step, strict=True):
-            change = change + x * F.lit(c)
-        tried = F.greatest(F.lit(least), rate - change)
-        now, new_gram = sums(tried)
-        if sum((m - t) ** 2 for m, t in zip(now, wanted, strict=True)) >= sum(x * x for x in miss):
-            break  # no step of this metric improves: the projected optimum
-        rate, totals, gram = tried, now, new_gram
+        better = None
+        for part in (1.0, 0.5, 0.125, 0.03):  # shorter steps where projection makes the whole one overshoot
+            change = F.lit(0.0)
+            for x, c in zip(p, step, strict=True):
+                change = change + x * F.lit(c * part)
+            tried = F.greatest(F.lit(least), rate - change)
+            now, new_gram = sums(tried)
+            if sum((m - t) ** 2 for m, t in zip(now, wanted, strict=True)) < (1 - 1e-6) * sum(x * x for x in miss):
+                better = tried, now, new_gram
+                break
+        if better is None:
+            break  # the projected optimum
+        rate, totals, gram = better
     return rate, totals
 
 
