@@ -30,7 +30,7 @@ from .graph import components
 
 COSINE = 0.9
 BLOCK_DIMS = 16
-TASK_ROWS = 2048
+TASK_ROWS = 8192
 #: What rounding may take from a block's distance.
 SLACK = 1e-5
 SEED = 20240229
@@ -55,6 +55,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _floats(column: pa.Array) -> np.ndarray:
+    """The bytes of binary values, one after another, as single precision."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     scale = np.abs(x).max(axis=1, keepdims=True)
     x = x / scale  # neither squares of huge components overflow nor those of tiny ones vanish
@@ -109,17 +115,19 @@ def _meet(cosine: float, width: int):
             home = row.column(7).to_numpy(zero_copy_only=False).astype(bool)
             name = row.column(8).to_numpy(zero_copy_only=False)
             low, high = blocks(dims, width)[block]
-            y = np.frombuffer(b"".join(row.column(9).to_pylist()), np.float32).reshape(-1, high - low)
+            y = _floats(row.column(9)).reshape(-1, high - low)
             budget = (2 - 2 * cosine) * (high - low) / dims + SLACK
-            square = (y * y).sum(axis=1)
+            square, one = (y * y).sum(axis=1, keepdims=True), np.ones((len(y), 1), np.float32)
+            # One product gives minus the squared distance.
+            one_side, other_side = np.hstack([2 * y, -square, -one]), np.hstack([y, one, square])
             # Rows at home in part i meet rows of part j, and the other way round; visitors don't meet each other.
             left, right = np.flatnonzero(home & (own == i)), np.flatnonzero(own == j)
             sides = [(left, right)] if i == j else [(left, right), (np.flatnonzero(home & (own == j)), np.flatnonzero(~home & (own == i)))]
             for a, b in sides:
-                for at in range(0, len(a), 512):
-                    p = a[at : at + 512]
-                    near = square[p][:, None] + square[b][None, :] - 2 * (y[p] @ y[b].T) <= budget
-                    r, c = np.nonzero(near)
+                across = np.ascontiguousarray(other_side[b].T)
+                for at in range(0, len(a), 256):
+                    p = a[at : at + 256]
+                    r, c = np.divmod(np.flatnonzero(one_side[p] @ across >= -budget), max(len(b), 1))
                     x, z = name[p[r]], name[b[c]]
                     both = home[b[c]]
                     keep = (x != z) & (~both | (x < z)) if i == j else x != z
