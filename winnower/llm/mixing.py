@@ -23,7 +23,7 @@ from .common import staged, table
 
 BUCKETS = 4096
 #: Labelled rows that the classifier is fitted on, in expectation.
-FIT_ROWS = 100_000
+FIT_ROWS = 50_000
 ROUNDS = 40
 #: Largest relative miss of a domain's total at which rounds end.
 TOLERANCE = 1e-3
@@ -49,8 +49,8 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, *, buckets: int = BUCKET
     n = domains.count()
     if n > fit_rows:
         domains = domains.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
-    # Labels grow with the corpus, so this is left to the planner, which broadcasts them if their size allows.
-    rows = docs.select("doc_id", "text").join(domains, "doc_id")
+    # At most fit_rows ids in expectation, whatever the corpus: bounded, so they may be broadcast.
+    rows = docs.select("doc_id", "text").join(F.broadcast(domains), "doc_id")
     counts = (
         rows.select("domain", F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("word"))
         .groupBy("domain", F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("bucket"))
