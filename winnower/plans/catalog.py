@@ -1,11 +1,232 @@
-"""Registered queries of the near-duplicate engine and the SQL they are held against."""
+"""Registered queries of the near-duplicate engine and the SQL they are held against.
+
+Every query reads a whole table. CHECKED is small enough for SQL to follow hash by hash; ``dedup_default`` has the
+default parameters, which SQL can't follow, and is held against known counts in the tests.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import MinHashConfig
+from ..functions.ngrams import char_ngrams, ngram_set
+from ..functions.signature import band_values, bands_of_signature, signature
+from ..operators.apply import apply_each, apply_whole
+from ..operators.dedup import DedupResult, compute_bands, dedup, explode_bands, flags_of, index_entries, split_histogram
+from ..operators.merge import MergeResult, MergeSource, merge
+from ..operators.similarity import similar_pairs
+from ..sources.jsonl import from_table, read_jsonl
+from ..sources.manifest import manifest
+from . import oracle
+from .staging import shared_folder, written
+
+CHECKED = MinHashConfig(5, 4, 2)
+TARGET = "src1"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text, dealt to all cores: a file may be one partition, and hashing is what takes time."""
+    return _documents(spark, sf_dir).select("doc_id", "text").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_table(_documents(spark, sf_dir), order_col="doc_id", source_col="source", keep=("doc_id",))
+
+
+def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams, distinct = F.col("grams"), F.size(F.array_distinct("grams"))
+    rows = _documents(spark, sf_dir).select("doc_id", char_ngrams("text", 5).alias("grams"))
+    return rows.select("doc_id", F.size(grams).cast("long").alias("n_grams"), distinct.cast("long").alias("n_distinct"), F.get(grams, F.lit(0)).alias("first_gram"), F.element_at(F.when(F.size(grams) > 0, grams), -1).alias("last_gram"))
+
+
+def gram_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select(F.explode(ngram_set("text", 5)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n_docs"))
+
+
+def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dealt(spark, sf_dir).select("doc_id", signature("text", CHECKED).alias("sig"))
+    return rows.select("doc_id", F.posexplode("sig").alias("seed", "hash"))
+
+
+def band_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dealt(spark, sf_dir).select("doc_id", bands_of_signature(signature("text", CHECKED), CHECKED).alias("bands"))
+    return explode_bands(rows, "doc_id")
+
+
+def _flags(spark: SparkSession, sf_dir: str, config: MinHashConfig, reverse: bool = False) -> DataFrame:
+    banded = written(_dealt(spark, sf_dir).select("doc_id", band_values("text", config).alias("bands")), "bands")
+    return flags_of(banded, reverse=reverse, idx="doc_id")
+
+
+def dedup_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(spark, sf_dir, CHECKED)
+
+
+def dedup_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(spark, sf_dir, CHECKED, reverse=True)
+
+
+def dedup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(spark, sf_dir, MinHashConfig())
+
+
+def _group(spark: SparkSession, sf_dir: str) -> DedupResult:
+    return dedup(_by_source(spark, sf_dir), CHECKED)
+
+
+def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _group(spark, sf_dir).stats()
+
+
+def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _group(spark, sf_dir).index.select("group", "item_number", "bucket_value", "split")
+
+
+def index_split_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_histogram(_group(spark, sf_dir).index)
+
+
+def source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_documents(spark, sf_dir).select(F.col("source").alias("file_path")))
+
+
+def unique_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _by_source(spark, sf_dir)
+    found = dedup(docs, CHECKED)
+    lines = docs.join(found.sources.select("file_path", "offset"), "file_path").select((F.col("offset") + F.col("item_number")).alias("item_number"), "doc_id", "text")
+    return apply_whole(lines, found.flags).select("global_idx", "doc_id", "text")
+
+
+def unique_of_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _by_source(spark, sf_dir)
+    found = dedup(docs, CHECKED)
+    return apply_each(docs.filter(F.col("file_path") == TARGET), found.flags, found.sources, TARGET).select("global_idx", "doc_id", "text")
+
+
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = similar_pairs(_documents(spark, sf_dir).select(F.col("doc_id").alias("idx"), "text"), n=5, threshold=0.6)
+    return pairs.select(F.col("i").alias("doc_a"), F.col("j").alias("doc_b"), "similarity")
+
+
+def _groups(spark: SparkSession, sf_dir: str, reverse: bool = False) -> MergeResult:
+    """Documents and conversations as two groups of one source each."""
+    talk = _table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("doc_id"), "text")
+    sources = []
+    for rows in (_documents(spark, sf_dir), talk):
+        docs = from_table(rows, order_col="doc_id").withColumn("source_idx", F.lit(0)).withColumn("global_idx", F.col("item_number"))
+        banded = written(compute_bands(docs.select("global_idx", "source_idx", "item_number", "text"), CHECKED), "bands")
+        flags = written(flags_of(banded), "flags")
+        sources.append(MergeSource(index_entries(banded, flags), flags))
+    return merge(sources, reverse=reverse)
+
+
+def merge_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, sf_dir).flags
+
+
+def merge_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, sf_dir, reverse=True).flags
+
+
+def merge_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, sf_dir).cross
+
+
+def short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without an n-gram: all but the first are duplicates of it."""
+    rows = _documents(spark, sf_dir).filter(F.length("text") < 5).select("doc_id")
+    first = rows.agg(F.min("doc_id").alias("first"))
+    return rows.join(F.broadcast(first)).select("doc_id", (F.col("doc_id") != F.col("first")).alias("duplicate"))
+
+
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines and read back by the strict reader."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    _documents(spark, sf_dir).select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), "text")).alias("value")).write.text(path)
+    rows = read_jsonl(spark, path, id_field="id")
+    return rows.select(F.col("id").cast("long").alias("doc_id"), "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        ngram_counts, gram_frequencies, minhash_signature, band_digests, dedup_forward, dedup_reverse, dedup_default, dedup_stats, index_rows,
+        index_split_histogram, source_manifest, unique_documents, unique_of_source, jaccard_pairs, merge_forward, merge_reverse, merge_cross,
+        short_documents, jsonl_roundtrip,
+    )
+}
+
+_BANDS = oracle.bands(5, CHECKED.num_buckets)
+
+
+def _dups(keeper: str) -> str:
+    return f"dup AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, {keeper}(doc_id) OVER (PARTITION BY bucket_idx, bucket_value) AS keeper FROM band) WHERE doc_id <> keeper)"
+
+
+def _flagged(keeper: str) -> str:
+    return f"WITH {_BANDS},\n{_dups(keeper)}\nSELECT d.doc_id, CASE WHEN x.doc_id IS NULL THEN ' ' ELSE 'D' END AS flag FROM documents d LEFT JOIN dup x ON d.doc_id = x.doc_id"
+
+
+# Documents in the order of sources, then ids: ``g`` is the place in the group.
+_PLACED = "placed AS (SELECT row_number() OVER (ORDER BY source, doc_id) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS item, dense_rank() OVER (ORDER BY source) - 1 AS src, doc_id, source, text FROM documents)"
+_GROUP = f"""WITH {_BANDS}, {_PLACED},
+pband AS (SELECT p.g, p.item, p.src, b.bucket_idx, b.bucket_value FROM band b JOIN placed p USING (doc_id)),
+dup AS (SELECT DISTINCT g FROM (SELECT g, min(g) OVER (PARTITION BY bucket_idx, bucket_value) AS keeper FROM pband) WHERE g <> keeper),
+idx AS (SELECT CAST(src AS INTEGER) AS "group", CAST(item AS INTEGER) AS item_number, bucket_value, CAST(bucket_value & 255 AS INTEGER) AS split FROM pband WHERE g NOT IN (SELECT g FROM dup))"""
+_BOTH = f"""WITH both_groups AS (
+  SELECT 0 AS grp, row_number() OVER (ORDER BY doc_id) - 1 AS item, text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY conv_id, turn) - 1, text FROM conversations),
+keyed_docs AS (SELECT grp * 1000000000000 + item AS k, text FROM both_groups),
+{oracle.bands(5, CHECKED.num_buckets, "keyed_docs", "k")},
+gband AS (SELECT k // 1000000000000 AS grp, k % 1000000000000 AS item, bucket_idx, bucket_value FROM band),
+dup AS (SELECT DISTINCT grp, item FROM (SELECT grp, item, min(item) OVER (PARTITION BY grp, bucket_idx, bucket_value) AS keeper FROM gband) WHERE item <> keeper),
+entries AS (SELECT * FROM gband WHERE (grp, item) NOT IN (SELECT (grp, item) FROM dup)),
+ranked AS (SELECT grp, item, min(grp) OVER w <> max(grp) OVER w AS crosses, row_number() OVER (PARTITION BY bucket_value ORDER BY grp, item) AS up,
+  row_number() OVER (PARTITION BY bucket_value ORDER BY grp DESC, item DESC) AS down FROM entries WINDOW w AS (PARTITION BY bucket_value))"""
+
+
+def _merged(rank: str) -> str:
+    return f"""{_BOTH}
+SELECT CAST(grp AS INTEGER) AS group_idx, item AS global_idx, CASE WHEN (grp, item) IN (SELECT (grp, item) FROM dup) OR (grp, item) IN (SELECT (grp, item) FROM ranked WHERE crosses AND {rank} > 1) THEN 'D' ELSE ' ' END AS flag FROM both_groups"""
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_GRAMS = "list_transform(range(1, length(text) - 3), lambda i: substring(text, i, 5))"
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "ngram_counts": f"SELECT doc_id, CAST(len(x) AS BIGINT) AS n_grams, CAST(len(list_distinct(x)) AS BIGINT) AS n_distinct, x[1] AS first_gram, x[len(x)] AS last_gram FROM (SELECT doc_id, {_GRAMS} AS x FROM documents)",
+    "gram_frequencies": f"SELECT gram, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, gram FROM ({oracle.gram_rows(5)})) GROUP BY gram",
+    "minhash_signature": f"WITH {oracle.signatures(5, CHECKED.total_hashes)}\nSELECT doc_id, seed, {oracle.signed('hash')} AS hash FROM signature",
+    "band_digests": f"WITH {_BANDS}\nSELECT * FROM band",
+    "dedup_forward": _flagged("min"),
+    "dedup_reverse": _flagged("max"),
+    "dedup_stats": f"{_GROUP}\nSELECT t AS total_documents, d AS duplicate_count, CASE WHEN t > 0 THEN CAST(d AS DOUBLE) / t * 100 END AS duplicate_rate FROM (SELECT count(*) AS t FROM documents), (SELECT count(*) AS d FROM dup)",
+    "index_rows": f'{_GROUP}\nSELECT "group", item_number, bucket_value, split FROM idx',
+    "index_split_histogram": f"{_GROUP}\nSELECT split, count(*) AS entries FROM idx GROUP BY split",
+    "source_manifest": """SELECT CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS source_idx, n AS item_count, source AS file_path,
+  CAST(coalesce(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)""",
+    "unique_documents": f"{_GROUP}\nSELECT g AS global_idx, doc_id, text FROM placed WHERE g NOT IN (SELECT g FROM dup)",
+    "unique_of_source": f"{_GROUP}\nSELECT g AS global_idx, doc_id, text FROM placed WHERE source = '{TARGET}' AND g NOT IN (SELECT g FROM dup)",
+    "jaccard_pairs": f"""WITH g AS (SELECT DISTINCT doc_id, gram FROM ({oracle.gram_rows(5)})), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+s AS (SELECT doc_a, doc_b, both_have / (x.n + y.n - both_have) AS similarity FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b)
+SELECT * FROM s WHERE similarity >= 0.6 UNION ALL
+SELECT a.doc_id, b.doc_id, 1.0 FROM documents a JOIN documents b ON a.doc_id < b.doc_id AND length(a.text) < 5 AND length(b.text) < 5""",
+    "merge_forward": _merged("up"),
+    "merge_reverse": _merged("down"),
+    "merge_cross": f"{_BOTH}\nSELECT count(*) AS cross_duplicates FROM ranked WHERE crosses AND up > 1",
+    "short_documents": "SELECT doc_id, doc_id <> min(doc_id) OVER () AS duplicate FROM documents WHERE length(text) < 5",
+    "jsonl_roundtrip": "SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n_chars FROM documents",
+}
