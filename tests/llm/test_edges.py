@@ -185,3 +185,57 @@ def test_pipeline_stages_on_an_empty_table(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def _edited(rng, base, n, changed):
+    """A text and copies of it with ``changed`` words replaced each."""
+    texts = [" ".join(base)]
+    for i in range(n):
+        words = list(base)
+        for at in rng.choice(len(words), changed, replace=False):
+            words[at] = f"new{i}x{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def _brute_groups(texts):
+    """Of each text the first that five-word Jaccard similarities of 0.8 or more lead to."""
+    sets = []
+    for text in texts:
+        words = text.split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    parent = list(range(len(texts)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                links += 1
+                x, y = top(i), top(j)
+                parent[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(texts))], links
+
+
+@pytest.mark.parametrize("block", [32, 4096])
+def test_similar_groups_try_every_pair_of_a_crowd(spark, block):
+    """Hundreds of copies with three of 150 words changed: most aren't similar, but every true link counts."""
+    rng = np.random.default_rng(3)
+    texts = _edited(rng, [f"w{x}" for x in rng.integers(0, 5000, 150)], 500, 3)
+    # repeated lines, and a passage that every text has
+    line = [f"r{x}" for x in range(12)]
+    texts += _edited(rng, line * 8 + [f"v{x}" for x in range(40)], 60, 2)
+    texts += [" ".join([*line, *(f"u{i}y{x}" for x in range(30))]) for i in range(60)]
+    wanted, links = _brute_groups(texts)
+    assert links > 500
+    rows = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7), block=block).collect()
+    of = {r.doc_id: r.component for r in rows}
+    least = {}
+    for d in sorted(of):
+        least.setdefault(of[d], d)
+    assert [least[of[d]] for d in range(len(texts))] == wanted

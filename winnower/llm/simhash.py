@@ -18,8 +18,6 @@ document wherever their fingerprints link. Columns beside id and text aren't rea
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -224,78 +222,187 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_fp, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
-#: Similar documents: five words, a Jaccard similarity, and how far fingerprints of such texts lie apart at most.
+#: Similar documents: words of a shingle and the least Jaccard similarity.
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
-SIMILAR_BITS = 14
-#: Bit samples of a fingerprint: so many, of 23 bits that a Golay word covers and a few that must agree.
-SAMPLES = 24
-AGREE = 5
-GOLAY_GENERATOR = 0b110001110101
-
-
-@lru_cache(maxsize=1)
-def golay_errors() -> tuple[np.ndarray, np.ndarray]:
-    """For each syndrome of the perfect [23,12] code (covering radius 3) the error patterns of weight 4 or less, the
-    lightest first, padded by the first; and the syndrome of each bit."""
-    units, x = [], 1
-    for _ in range(23):
-        units.append(x)
-        x <<= 1
-        if x >> 11:
-            x ^= GOLAY_GENERATOR
-    by: list[list[int]] = [[] for _ in range(2048)]
-    for weight in range(5):
-        for places in combinations(range(23), weight):
-            syndrome = pattern = 0
-            for p in places:
-                syndrome ^= units[p]
-                pattern |= 1 << p
-            by[syndrome].append(pattern)
-    return np.array([(x + x[:1] * 6)[:6] for x in by], np.uint32), np.array(units, np.uint32)
-
-
-def sampled_anchors(fp: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 6) anchors within covering radius + 1 of a sample of the fingerprints' bits, and which of them count."""
-    places = np.random.default_rng(sample).permutation(64)[: 23 + AGREE]
-    errors, units = golay_errors()
-    word, syndrome, fixed = np.zeros(len(fp), np.uint32), np.zeros(len(fp), np.uint32), np.zeros(len(fp), np.int64)
-    for i, place in enumerate(places.tolist()):
-        bit = (fp >> np.uint64(place) & np.uint64(1)).astype(np.uint32)
-        if i < 23:
-            word |= bit << np.uint32(i)
-            syndrome ^= bit * units[i]
-        else:
-            fixed |= bit.astype(np.int64) << (i - 23)
-    found = errors[syndrome]
-    code = (word[:, None] ^ found).astype(np.int64)
-    used = np.ones(found.shape, bool)
-    used[:, 1:] = found[:, 1:] != found[:, :1]
-    return (code << AGREE | fixed[:, None]) * SAMPLES + sample, used
-
-
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low in range(0, batch.num_rows, 50_000):
-            node, fp = (batch.column(i).slice(low, 50_000).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            for sample in range(SAMPLES):
-                key, used = sampled_anchors(fp.view(np.uint64), sample)
-                home = np.zeros(used.shape, bool)
-                home[:, 0] = True
-                n = used.sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(key[used]), pa.array(np.repeat(fp, n)), pa.array(home[used]), pa.array(np.repeat(node, n))], names=["anchor", "fp", "home", "node"])
+#: Room for rounding in the product of the similarity and a size.
+EPSILON = 1e-9
+#: Longs of a sketch. Groups of more rows than CROWD are first linked by a forest.
+SKETCH = 4
+CROWD = 16
+#: Contents (in expectation) by which common shingles are told, in how many of these such a one is, and how many are kept. They set
+#: the order of shingles, which any order may be: no pair depends on them.
+ORDER_ROWS = 8192
+COMMON = 8
+MAX_COMMON = 50_000
+#: Pairs that are put out at once.
+PAIRS_AT_ONCE = 500_000
+
+
+def _contents(texts: pa.Array) -> pa.Array:
+    return pa.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) - (1 << 63) for t in texts.to_pylist()], pa.int64())
 
 
 @F.arrow_udf(LongType())
 def content_of(text: pa.Array) -> pa.Array:
     """A hash of a text's words: equal for texts that differ in case of A-Z and white space alone."""
-    return pa.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) - (1 << 63) for t in text.cast(pa.binary()).to_pylist()], pa.int64())
+    return _contents(text.cast(pa.binary()))
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Distinct shingle hashes, sorted as longs."""
+    return np.unique(np.array(text_hashes(text, SIMILAR_WORDS), np.uint64).view(np.int64))
 
 
 @F.arrow_udf(ArrayType(LongType()))
 def shingles_of(text: pa.Array) -> pa.Array:
-    """Distinct shingle hashes."""
-    return pa.array([np.unique(np.array(text_hashes(t, SIMILAR_WORDS), np.uint64)).view(np.int64) for t in text.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+    return pa.array([shingles(t) for t in text.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+
+
+def sketch(found: np.ndarray, bits: int) -> np.ndarray:
+    """A bit for each place that a set's shingles fall on: whether their number there is odd. Two sketches differ in as
+    many bits as the sets in shingles, at most."""
+    return np.packbits((np.bincount(found & (bits - 1), minlength=bits) & 1).astype(np.uint8))
+
+
+def long_sketch(found: np.ndarray) -> bytes:
+    """A sketch of four bits or more for each shingle, a power of two; longer ones fold to shorter."""
+    return sketch(found, max(64 * SKETCH, 1 << int(4 * len(found) - 1).bit_length() if len(found) else 0)).tobytes()
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose long sketches don't rule out that they are similar."""
+    for batch in batches:
+        keep = []
+        for size, x, y in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+            x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+            apart = x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+            keep.append(int(_popcount(apart).sum(dtype=np.int64)) <= size * ((1 - SIMILARITY) / (1 + SIMILARITY)) + EPSILON)
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+
+def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first |A| - ceil(t |A|) + 1 shingles in one order of all: by their count among ``common`` (sorted), 0
+    elsewhere, then by hash. Two sets of similarity t have one of these in common."""
+    n = len(found) - int(np.ceil(SIMILARITY * len(found) - EPSILON)) + 1
+    if not len(common):
+        return found[:n]
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    return found[np.lexsort((found, np.where(common[at] == found, counts[at], 0)))[:n]]
+
+
+def _prepared(common: np.ndarray, counts: np.ndarray):
+    """(doc_id, text) to doc_id, content, size, sketch and prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            sets = [shingles(t) for t in texts.to_pylist()]
+            bits = np.array([sketch(x, 64 * SKETCH).view(np.int64) for x in sets], np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _contents(texts), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(bits[:, i].copy()) for i in range(SKETCH)), pa.array([long_sketch(x) for x in sets], pa.binary()), pa.array([prefix(x, common, counts) for x in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "content", "size", *SKETCH_COLUMNS, "bits", "prefix"],
+            )
+
+    return run
+
+
+SKETCH_COLUMNS = [f"sketch{i}" for i in range(SKETCH)]
+
+
+def _near(rows: np.ndarray, i, j) -> np.ndarray:
+    """Whether the rows (component, node, size, sketch) at i and j aren't connected yet and may be similar, by size and sketch."""
+    a, b = rows[i], rows[j]
+    size, other = a[..., 2], b[..., 2]
+    may = (a[..., 0] != b[..., 0]) & (np.minimum(size, other) >= SIMILARITY * np.maximum(size, other) - EPSILON)
+    apart = _popcount((a[..., 3:] ^ b[..., 3:]).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+    return may & (apart <= (size + other) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + EPSILON)
+
+
+def _pairs(rows: np.ndarray, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of one group's rows that may be similar: all pairs, or a spanning forest of them."""
+    if not forest:
+        for x in range(len(rows) - 1):
+            yield np.array([x]), x + 1 + np.flatnonzero(_near(rows, x, slice(x + 1, None)))
+        return
+    left = np.arange(len(rows))
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            hit = _near(rows, x, left)
+            yield np.array([x]), left[hit]
+            queue += left[hit].tolist()
+            left = left[~hit]
+
+
+def _candidates(forest: bool):
+    """Rows (shingle, i, j, component, node, size, sketch), each group's together, to pairs of nodes that may be similar."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(key: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bounds = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+            sizes = np.diff(np.append(bounds, len(rows)))
+            a, b, held = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                ends = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+                return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
+
+            def put(x: np.ndarray, y: np.ndarray) -> int:
+                x, y = np.broadcast_arrays(rows[x, 1], rows[y, 1])
+                a.append(np.minimum(x, y))
+                b.append(np.maximum(x, y))
+                return len(y)
+
+            small = np.repeat(sizes <= CROWD, sizes)
+            for shift in range(1, int(min(CROWD, sizes.max()))):  # pairs at this distance in the sorted rows
+                x = np.flatnonzero((key[shift:] == key[:-shift]).all(axis=1) & small[shift:])
+                x = x[_near(rows, x, x + shift)]
+                held += put(x, x + shift)
+            for low, n in zip(bounds[sizes > CROWD].tolist(), sizes[sizes > CROWD].tolist(), strict=True):
+                own = rows[low : low + n]
+                if (own[:, 0] == own[0, 0]).all():
+                    continue
+                for x, y in _pairs(own, forest):
+                    held += put(low + x, low + y)
+                    if held > PAIRS_AT_ONCE:
+                        yield out()
+                        a.clear()
+                        b.clear()
+                        held = 0
+            if held:
+                yield out()
+
+        kept = None
+        for batch in batches:
+            values = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            if kept is not None:
+                values = np.concatenate([kept, values])
+            if not len(values):
+                continue
+            key = values[:, :3]
+            last = int(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))[-1])
+            kept = values[last:]
+            if last:
+                yield from flush(key[:last], values[:last, 3:])
+        if kept is not None:
+            yield from flush(kept[:, :3], kept[:, 3:])
+
+    return compare
+
+
+def _dealt(prefixes: DataFrame, nodes: DataFrame, least: int, block: int) -> DataFrame:
+    """Rows of shingles in prefixes of ``least`` nodes or more and of two components, as _candidates() reads them. Groups beyond a block are
+    dealt to pairs of blocks."""
+    known = prefixes.join(nodes.select("content", "component"), "content")
+    crowds = known.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+    met = prefixes.join(crowds.filter((F.col("n") >= least) & (F.col("x") != F.col("y"))).select("shingle", "n"), "shingle")
+    parts = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("content"), parts).cast("int")
+    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "content")
+    rows = dealt.join(nodes, "content").select("shingle", "i", "j", "component", F.col("content").alias("node"), "size", *SKETCH_COLUMNS)
+    return rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "node")
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,24 +415,49 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that many of the texts have, as far as ORDER_ROWS contents tell, and their counts."""
+    part = min(1_000_000, int(1_000_000 * ORDER_ROWS / max(1, texts.count())))
+    told = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part).distinct()
+    counts = told.select(F.explode(shingles_of("text")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).collect()
+    pairs = np.array(sorted((r.shingle, r.n) for r in found), np.int64).reshape(-1, 2)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, block: int = BLOCK) -> DataFrame:
     """doc_id, content and component of every row: documents linked by a Jaccard similarity of their five-word
-    shingles of SIMILARITY or more, as far as samples of their fingerprints meet at an anchor; every link is verified.
+    shingles of SIMILARITY or more, exactly.
 
-    Texts of equal words are one node, whatever their number.
+    Texts of equal words are one node, whatever their number. Nodes that share a shingle of their prefixes meet. Crowds
+    are first linked by a forest of candidates, each verified. Then every pair of nodes that isn't connected by verified
+    links and that size and sketch don't rule out is a candidate, and verified, so no forest decides what is tried.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    prints = staged(docs.select(F.col(id_col).alias("doc_id"), content_of(text).alias("content"), fingerprint_of(text).alias("fp")), "similar")
-    nodes = prints.groupBy("content").agg(F.min("fp").alias("fp"))
-    rows = staged(nodes.mapInArrow(_sampled, "anchor long, fp long, home boolean, node long"), "anchors")
-    tried = staged(anchored_links(rows, SIMILAR_BITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    columns = ", ".join(f"{c} long" for c in ["doc_id", "content", "size", *SKETCH_COLUMNS])
+    prints = staged(texts.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_prepared(*common_shingles(texts.select("text"))), f"{columns}, bits binary, prefix array<long>"), "similar")
+    nodes = staged(prints.drop("doc_id").dropDuplicates(["content"]), "contents")
+    every = nodes.select("content", F.explode("prefix").alias("shingle"))
+    prefixes = staged(every.join(every.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle"), "shingle"), "prefixes")
+    alone = nodes.select("content", F.col("content").alias("component"), "size", *SKETCH_COLUMNS)
+    by_forest = _verified(_dealt(prefixes, alone, CROWD + 1, block).mapInArrow(_candidates(True), "a long, b long"), nodes, texts)
+    first = staged(components(by_forest), "crowds").withColumnRenamed("node", "content")
+    joined = alone.drop("component").join(first, "content", "left").withColumn("component", F.coalesce("component", "content"))
+    links = _verified(_dealt(prefixes, staged(joined, "joined"), 2, block).mapInArrow(_candidates(False), "a long, b long"), nodes, texts)
+    groups = components(by_forest.unionByName(links))
+    return prints.select("doc_id", "content").join(groups.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "content", F.coalesce("component", "content").alias("component"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The candidates (a, b) whose shingle sets are similar, as a written table: those that sketches leave are compared."""
+    bits = lambda c: nodes.select(F.col("content").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.distinct().join(bits("a"), "a").join(bits("b"), "b").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("size"), "bits_a", "bits_b")
+    tried = staged(both.mapInArrow(_sketched, "a long, b long"), "tried")
     ends = tried.select(F.col("a").alias("content")).union(tried.select("b")).distinct()
-    sets = docs.select(content_of(text).alias("content"), text.alias("text")).join(ends, "content").groupBy("content").agg(F.min("text").alias("text"))
+    sets = texts.select(content_of("text").alias("content"), "text").join(ends, "content").groupBy("content").agg(F.min("text").alias("text"))
     sets = staged(sets.select("content", shingles_of("text").alias("shingles")), "shingles")
     side = lambda c: sets.select(F.col("content").alias(c), F.col("shingles").alias(f"shingles_{c}"))
-    links = tried.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_similar, "a long, b long")
-    groups = components(staged(links, "similar-links"))
-    return prints.join(groups.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "content", F.coalesce("component", "content").alias("component"))
+    return staged(tried.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_similar, "a long, b long"), "similar-links")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
