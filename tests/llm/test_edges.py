@@ -239,3 +239,17 @@ def test_similar_groups_try_every_pair_of_a_crowd(spark, block):
     for d in sorted(of):
         least.setdefault(of[d], d)
     assert [least[of[d]] for d in range(len(texts))] == wanted
+
+
+def test_pii_learns_in_two_hops(spark):
+    """An identifier beside a pattern that no base match has, but identifiers do that the first hop finds."""
+    # Base matches stand behind 'mail'; so do member numbers, which also stand behind 'badge', and the last one does only there.
+    texts = [f"please mail user{i}@example.com today" for i in range(60)]
+    numbers = [f"Q{i}-{7000 + 13 * i}" for i in range(10)]
+    texts += [f"please mail {x} today" for x in numbers] + [f"their badge {x} was" for x in numbers]
+    texts += ["their badge hidden-99z was", "some other-77z thing", "some thing-78z thing"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = {r.text: r.pii for r in pii.extract(docs, pii.learn(docs)).collect()}
+    assert rows[f"please mail {numbers[0]} today"].n_found == 1
+    assert rows["their badge hidden-99z was"].spans == "email:12:22"
+    assert rows["some other-77z thing"].n_found == rows["some thing-78z thing"].n_found == 0

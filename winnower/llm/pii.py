@@ -3,7 +3,8 @@
 Base patterns find emails, IP addresses, card and phone numbers. Their matches seed a bipartite graph of lexical patterns
 (kind, and the words beside a match) and instances (what stands there). Spark scores the graph in
 rounds: an instance's belief is the noisy-or of its patterns' confidence, a pattern's confidence is the smoothed share of
-belief among its instances. Patterns of high confidence and support then find identifiers that no base pattern
+belief among its instances. Its support is its base matches and the instances that a confident pattern found in the round
+before, so what is found makes new patterns. Patterns of high confidence and support then find identifiers that no base pattern
 matches but that have the shape of one (digits or an at sign). Base matches always stay.
 
 Candidates are tokens with a digit or an at sign that no base match covers. Each match and candidate gives patterns of
@@ -144,20 +145,20 @@ def learn(texts: DataFrame, *, rounds: int = ROUNDS, confidence: float = CONFIDE
     for _ in range(rounds):
         # Confidence: the belief among a pattern's distinct instances, with one disbelieved instance added.
         if scored is None:
-            belief = edges.select("pattern", "instance", "seed", F.lit(0.0).alias("belief"), F.lit(None).cast("int").alias("of"))
+            belief = edges.select("pattern", "instance", "seed", F.lit(0.0).alias("belief"), F.lit(0.0).alias("best"), F.lit(None).cast("int").alias("of"))
         else:
             noisy = edges.filter("seed < 0").join(scored.select("pattern", "kind", "score"), "pattern")
-            found = noisy.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999)))))).alias("belief"))
-            belief = edges.join(found.withColumn("seed", F.lit(-1)), ["instance", "seed"], "left").select("pattern", "instance", "seed", F.coalesce("belief", F.lit(0.0)).alias("belief"), F.col("kind").alias("of"))
+            found = noisy.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999)))))).alias("belief"), F.max("score").alias("best"))
+            belief = edges.join(found.withColumn("seed", F.lit(-1)), ["instance", "seed"], "left").select("pattern", "instance", "seed", F.coalesce("belief", F.lit(0.0)).alias("belief"), F.coalesce("best", F.lit(0.0)).alias("best"), F.col("kind").alias("of"))
         per = belief.groupBy("pattern", F.when(F.col("seed") >= 0, F.col("seed")).otherwise(F.col("of")).alias("kind")).agg(
-            F.sum(F.when(F.col("seed") >= 0, 1.0).otherwise(F.col("belief"))).alias("good"), F.count(F.when(F.col("seed") >= 0, 1)).alias("seeds")
+            F.sum(F.when(F.col("seed") >= 0, 1.0).otherwise(F.col("belief"))).alias("good"), F.count(F.when((F.col("seed") >= 0) | (F.col("best") >= confidence), 1)).alias("support")
         )
         total = edges.groupBy("pattern").agg(F.count("*").alias("instances"))
         scored = staged(
-            per.filter("kind is not null").join(total, "pattern").withColumn("score", F.col("good") / (F.col("instances") + 1)).filter(f"seeds >= {int(support)} and score > 0.05"),
+            per.filter("kind is not null").join(total, "pattern").withColumn("score", F.col("good") / (F.col("instances") + 1)).filter(f"support >= {int(support)} and score > 0.05"),
             "pii-patterns",
         )
-    return scored.filter(F.col("score") >= confidence).select("pattern", "kind", "score", "seeds").orderBy(F.desc("score"), F.desc("seeds"), "pattern", "kind").limit(max_patterns)
+    return scored.filter(F.col("score") >= confidence).select("pattern", "kind", "score", "support").orderBy(F.desc("score"), F.desc("support"), "pattern", "kind").limit(max_patterns)
 
 
 def found_spans(text: str, base: list[tuple[int, int, int]], patterns: dict[str, tuple[int, float]]) -> list[tuple[int, int, int]]:
