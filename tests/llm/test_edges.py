@@ -253,3 +253,17 @@ def test_pii_learns_in_two_hops(spark):
     assert rows[f"please mail {numbers[0]} today"].n_found == 1
     assert rows["their badge hidden-99z was"].spans == "email:12:22"
     assert rows["some other-77z thing"].n_found == rows["some thing-78z thing"].n_found == 0
+
+
+def test_pii_drops_no_pattern_beyond_the_broadcast(spark, odd):
+    """Patterns that are too many to broadcast find what they find by broadcast, also in repeated and null texts."""
+    texts = [f"mail user{i}@example.com or ring {w} +49 30 555{1000 + i}" for w in ("home", "office") for i in range(30)]
+    texts += ["mail hidden-1z2 or not", "ring home hidden-3z4", "ring home hidden-3z4", "ring office hidden-5z6"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+    patterns = pii.learn(docs.select("text"))
+    assert patterns.count() > 2
+    wanted = sorted(map(str, pii.extract(docs, patterns).collect()))
+    found = pii.extract(docs, patterns, max_patterns=1)
+    assert found.columns == ["doc_id", "text", "pii"]
+    assert sorted(map(str, found.collect())) == wanted
+    assert sum(r.pii.n_found for r in found.filter("text like '%hidden%'").collect()) == 4

@@ -10,7 +10,7 @@ matches but that have the shape of one (digits or an at sign). Base matches alwa
 Candidates are tokens with a digit or an at sign that no base match covers. Each match and candidate gives patterns of
 its one or two words to the left, alone and with the word to the right. Graph rows are aggregated by hash-partitioned
 group-bys; a pattern beside a third of all matches is summed before the shuffle. Confident patterns are broadcast if
-there are at most ``max_patterns``, the best by score and support: the model's size.
+there are at most ``max_patterns``. More are joined with the patterns of each text, by hash, so that none is dropped.
 
 Defined cases: null and empty texts have no spans, and the digest of the empty string. Repeated rows give repeated
 results. A found span never overlaps a base span or an earlier found span. Offsets count code points.
@@ -134,8 +134,8 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([{"pattern": p, "instance": i, "seed": k, "n": n} for (p, i, k), n in seen.items()], schema)
 
 
-def learn(texts: DataFrame, *, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT, max_patterns: int = MAX_PATTERNS) -> DataFrame:
-    """(pattern, kind, score) of confident patterns in the first column, at most ``max_patterns``.
+def learn(texts: DataFrame, *, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """(pattern, kind, score) of all confident patterns in the first column.
 
     Seeds have belief 1 in their own kind. Every round writes a small table, so that a loss costs one round.
     """
@@ -158,7 +158,7 @@ def learn(texts: DataFrame, *, rounds: int = ROUNDS, confidence: float = CONFIDE
             per.filter("kind is not null").join(total, "pattern").withColumn("score", F.col("good") / (F.col("instances") + 1)).filter(f"support >= {int(support)} and score > 0.05"),
             "pii-patterns",
         )
-    return scored.filter(F.col("score") >= confidence).select("pattern", "kind", "score", "support").orderBy(F.desc("score"), F.desc("support"), "pattern", "kind").limit(max_patterns)
+    return scored.filter(F.col("score") >= confidence).select("pattern", "kind", "score", "support")
 
 
 def found_spans(text: str, base: list[tuple[int, int, int]], patterns: dict[str, tuple[int, float]]) -> list[tuple[int, int, int]]:
@@ -178,30 +178,54 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 EXTRACT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_found long"
 
 
-def extract(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``pii`` in place of its text: base counts and digest, all spans, number found."""
+def _extracted(text: str, patterns: dict[str, tuple[int, float]]) -> dict:
+    base = base_spans(text)
+    more = found_spans(text, base, patterns)
+    counts = [sum(k == i for _, k, _ in base) for i in range(4)]
+    return {"n_email": counts[0], "n_ip": counts[1], "n_card": counts[2], "n_phone": counts[3], "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "spans": joined(sorted(base + more)), "n_found": len(more)}
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_hash, text) to (text_hash, pattern): the distinct patterns of each text's candidates."""
+    for batch in batches:
+        rows = []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows += [(key, x) for x in {p for a, b in candidates(text, base_spans(text)) for p in contexts(text, a, b)}]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.string())], names=["text_hash", "pattern"])
+
+
+def extract(docs: DataFrame, patterns: DataFrame, text: str = "text", *, max_patterns: int = MAX_PATTERNS) -> DataFrame:
+    """``docs`` with a struct column ``pii`` in place of its text: base counts and digest, all spans, number found.
+
+    The best kind of each pattern is broadcast where there are at most ``max_patterns``, else joined by each text's hash: texts
+    of equal hashes share their patterns, which are looked up by their words.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    best: dict[str, tuple[int, float]] = {}
-    for p, k, s in patterns.select("pattern", "kind", "score").collect():  # at most max_patterns
-        if p not in best or (s, -k) > (best[p][1], -best[p][0]):
-            best[p] = (k, s)
-    held = docs.sparkSession.sparkContext.broadcast(best)
+    known = patterns.groupBy("pattern").agg(F.max(F.struct("score", (-F.col("kind")).alias("less"))).alias("best")).select("pattern", (-F.col("best.less")).alias("kind"), "best.score")
+    some = known.limit(max_patterns + 1).collect()
     arrow = pa.struct(list(to_arrow_schema(StructType.fromDDL(EXTRACT))))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    if len(some) > max_patterns:
+
+        def join(texts: pa.Array, found: pa.Array) -> pa.Array:
+            sets = ({p["pattern"]: (p["kind"], p["score"]) for p in x or ()} for x in found.to_pylist())
+            return pa.array([_extracted(t, x) for t, x in zip(texts.to_pylist(), sets, strict=True)], arrow)
+
+        join.__annotations__ = {"texts": pa.Array, "found": pa.Array, "return": pa.Array}
+        met = docs.select(F.xxhash64(whole).alias("text_hash"), whole.alias("text")).mapInArrow(_beside, "text_hash long, pattern string").distinct().join(known, "pattern")
+        per = met.groupBy("text_hash").agg(F.collect_list(F.struct("pattern", "kind", "score")).alias("_found")).withColumnRenamed("text_hash", "_text_hash")
+        both = docs.withColumn("_text_hash", F.xxhash64(whole)).join(per, "_text_hash", "left")
+        return both.withColumn("pii", F.arrow_udf(join, StructType.fromDDL(EXTRACT))(whole, F.col("_found"))).drop("_text_hash", "_found")
+    held = docs.sparkSession.sparkContext.broadcast({r.pattern: (r.kind, r.score) for r in some})
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            out = []
-            for t in part.to_pylist():
-                base = base_spans(t)
-                more = found_spans(t, base, held.value)
-                counts = [sum(k == i for _, k, _ in base) for i in range(4)]
-                out.append({"n_email": counts[0], "n_ip": counts[1], "n_card": counts[2], "n_phone": counts[3], "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "spans": joined(sorted(base + more)), "n_found": len(more)})
-            yield pa.array(out, arrow)
+            yield pa.array([_extracted(t, held.value) for t in part.to_pylist()], arrow)
 
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.withColumn("pii", F.arrow_udf(run, StructType.fromDDL(EXTRACT))(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn("pii", F.arrow_udf(run, StructType.fromDDL(EXTRACT))(whole))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
