@@ -1,12 +1,15 @@
-"""Substring dedup by hashing normalised units: lines, paragraphs or sentences.
+"""Substring dedup by hashing normalised units: lines or paragraphs, and the clauses in them.
 
 A unit that occurs more than once keeps its earliest occurrence, by document id and then by place; the rest are
-removed. Neighbouring removed units of a text make one span, reported in code points of the original text, and spans
-of fewer than ``min_words`` words stay: a greeting is no passage. Units of fewer than ``unit_words`` words are too common
-to be evidence and are removed only inside a span.
+removed. Passages that begin in the middle of a line never make a unit of their own, so the clauses of a line are hashed beside
+it, into the same groups; ``clauses=False`` leaves lines or paragraphs alone. Removed units of a text that are fewer than ``unit_words``
+words apart make one span, reported in code points of the original text, and spans of fewer than ``min_words`` words stay: a
+greeting is no passage. Units of fewer than ``unit_words`` words are too common to be evidence and are removed only inside a
+span.
 
-Texts are read once and only digests and offsets are shuffled. A digest's earliest document is aggregated before the
-shuffle and joined back, so a line that stands in a third of all texts is split by the adaptive skew join.
+Texts are read once for the groups and once for the spans, and only digests and offsets are shuffled. A digest's earliest
+document is aggregated before the shuffle and joined back, so a line that stands in a third of all texts is split by the
+adaptive skew join.
 
 Defined cases: null and empty texts have no units. Null ids come last. Rows of equal ids are one rank: what they share
 is not removed from either, and a row that is repeated as a whole is reported once.
@@ -30,38 +33,54 @@ from .common import table
 UNITS = {
     "line": r"[^\n]*\n+|[^\n]+",
     "paragraph": r"(?s:.+?)(?:\n\s*\n|\Z)",
-    "sentence": r"[^\n.!?]*[\n.!?]+|[^\n.!?]+",
 }
+CLAUSE = r"[^\n.,;:!?]*[\n.,;:!?]+|[^\n.,;:!?]+"
 UNIT_WORDS = 3
 MIN_WORDS = 25
-ROWS = "doc_id long, text_hash long, seq int, start int, end int, words int, digest binary, first boolean"
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("seq", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("digest", pa.binary()), ("first", pa.bool_())])
+ROWS = "doc_id long, text_hash long, start int, end int, low int, high int, digest binary, first boolean"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("digest", pa.binary()), ("first", pa.bool_())])
 LAST = 2**63 - 1
 
 
-def text_units(text: str, pattern: re.Pattern, unit_words: int) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of every unit of enough words, lower-cased and with its white space collapsed."""
-    out = []
+def text_units(text: str, pattern: re.Pattern, unit_words: int, clause: re.Pattern | None = re.compile(CLAUSE)) -> list[tuple[int, int, int, int, bytes]]:
+    """(start, end, low, high, digest) of every unit of enough words, a line before its clauses. Words are lower-cased and
+    cut at white space and ends of clauses; ``low`` and ``high`` are the places of a unit's words among all of the text."""
+    out, at = [], 0
     for m in pattern.finditer(text):
+        begin, end, low = m.start(), m.end(), at
         words = m[0].lower().encode().split()
+        parts = []
+        for c in clause.finditer(text, begin, end) if clause else ():
+            own = c[0].lower().encode().split()
+            if own:
+                parts.append((c.start(), c.end(), at, at + len(own), own))
+                at += len(own)
+        if not clause:
+            at += len(words)
         if len(words) >= unit_words:
-            out.append((m.start(), m.end(), len(words), hashlib.md5(b" ".join(words)).digest()))
+            out.append((begin, end, low, at, _digest(words)))
+        # A clause of all the line's words is the line.
+        out += [(a, b, x, y, _digest(own)) for a, b, x, y, own in parts if len(own) >= unit_words and own != words]
     return out
 
 
-def units(docs: DataFrame, unit: str = "sentence", *, id_col: str = "doc_id", text_col: str = "text", unit_words: int = UNIT_WORDS) -> DataFrame:
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.md5(b" ".join(words)).digest()
+
+
+def units(docs: DataFrame, unit: str = "line", *, id_col: str = "doc_id", text_col: str = "text", unit_words: int = UNIT_WORDS, clauses: bool = True) -> DataFrame:
     """A row for each unit; ``first`` where the text has not had it before."""
     source = UNITS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = re.compile(source)
+        pattern, clause = re.compile(source), re.compile(CLAUSE) if clauses else None
         for batch in batches:
             rows: list[list] = [[] for _ in SCHEMA]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen: set[bytes] = set()
                 key = xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
-                for seq, (start, end, words, digest) in enumerate(text_units(text, pattern, unit_words)):
-                    for column, value in zip(rows, (doc, key, seq, start, end, words, digest, digest not in seen), strict=True):
+                for start, end, low, high, digest in text_units(text, pattern, unit_words, clause):
+                    for column, value in zip(rows, (doc, key, start, end, low, high, digest, digest not in seen), strict=True):
                         column.append(value)
                     seen.add(digest)
                 if len(rows[0]) > 50_000:
@@ -72,16 +91,19 @@ def units(docs: DataFrame, unit: str = "sentence", *, id_col: str = "doc_id", te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, ROWS)
 
 
-def repeated_spans(docs: DataFrame, unit: str = "sentence", *, id_col: str = "doc_id", text_col: str = "text", unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, unit: str = "line", *, id_col: str = "doc_id", text_col: str = "text", unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS, clauses: bool = True) -> DataFrame:
     """Spans to remove: id, start, end, n_units, n_words, and the document that keeps the span's first unit."""
-    found = units(docs, unit, id_col=id_col, text_col=text_col, unit_words=unit_words).withColumn("rank", F.coalesce("doc_id", F.lit(LAST)))
+    found = units(docs, unit, id_col=id_col, text_col=text_col, unit_words=unit_words, clauses=clauses).withColumn("rank", F.coalesce("doc_id", F.lit(LAST)))
     groups = found.groupBy("digest").agg(F.min("rank").alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    gone = found.join(groups, "digest").filter("rank <> kept or not first").select("doc_id", "text_hash", "seq", "start", "end", "words", "kept")
-    text = Window.partitionBy("doc_id", "text_hash").orderBy("seq")
-    marked = gone.withColumn("before", F.lag("seq").over(text)).filter("before is null or before <> seq")
-    runs = marked.withColumn("run", F.sum(F.when(F.col("before") == F.col("seq") - 1, 0).otherwise(1)).over(text))
+    gone = found.join(groups, "digest").filter("rank <> kept or not first").select("doc_id", "text_hash", "start", "end", "low", "high", "kept")
+    text = Window.partitionBy("doc_id", "text_hash").orderBy("low", F.desc("high"))
+    so_far = F.max("high").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    # Rows of equal id and text have equal units: the second of each goes.
+    before = F.lag(F.struct("low", "high")).over(text)
+    marked = gone.select("*", so_far.alias("so_far"), before.alias("before")).filter(F.col("before").isNull() | (F.col("before") != F.struct("low", "high")))
+    runs = marked.withColumn("run", F.sum(F.when(F.col("so_far").isNull() | (F.col("low") - F.col("so_far") >= unit_words), 1).otherwise(0)).over(text))
     spans = runs.groupBy("doc_id", "text_hash", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"), F.min_by("kept", "seq").alias("kept")
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), (F.max("high") - F.min("low")).cast("long").alias("n_words"), F.min_by("kept", F.struct("low", -F.col("high"))).alias("kept")
     )
     return spans.filter(F.col("n_words") >= min_words).select(
         F.col("doc_id").alias(id_col), "text_hash", "start", "end", "n_units", "n_words", F.when(F.col("kept") != LAST, F.col("kept")).alias("kept_doc_id")
@@ -115,24 +137,31 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = rf"""
-WITH tiles AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n.!?]*[\n.!?]+|[^\n.!?]+') AS x FROM documents
-), pieces AS (
-  SELECT doc_id, unnest(x) AS tile, generate_subscripts(x, 1) AS i FROM tiles
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n]*\n+|[^\n]+') AS x FROM documents
+), lines AS (
+  SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM cut
+), tiles AS (
+  SELECT doc_id, n, line, unnest(y) AS tile, generate_subscripts(y, 1) AS i
+  FROM (SELECT *, regexp_extract_all(line, '[^\n.,;:!?]*[\n.,;:!?]+|[^\n.,;:!?]+') AS y FROM lines)
 ), placed AS (
-  SELECT doc_id, i, tile, coalesce(sum(length(tile)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    trim(regexp_replace(lower(tile), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM pieces
-), units AS (
-  SELECT doc_id, start, start + length(tile) AS "end", md5(norm) AS digest, len(string_split(norm, ' ')) AS words,
-    row_number() OVER (PARTITION BY doc_id ORDER BY i) AS seq,
-    row_number() OVER (PARTITION BY doc_id, md5(norm) ORDER BY i) AS nth
-  FROM placed WHERE norm <> '' AND len(string_split(norm, ' ')) >= {UNIT_WORDS}
+  SELECT *, sum(length(tile)) OVER w - length(tile) AS start, sum(words) OVER w - words AS low FROM (
+    SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS words FROM (
+      SELECT doc_id, n, i, tile, trim(regexp_replace(lower(tile), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS whole FROM tiles))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY n, i)
+), both_levels AS (
+  SELECT doc_id, start, start + length(tile) AS "end", low, low + words AS high, norm FROM placed WHERE norm <> whole AND words >= {UNIT_WORDS}
+  UNION ALL
+  SELECT doc_id, min(start), max(start + length(tile)), min(low), max(low + words), any_value(whole) FROM placed
+  GROUP BY doc_id, n HAVING any_value(whole) <> '' AND len(string_split(any_value(whole), ' ')) >= {UNIT_WORDS}
 ), ranked AS (
-  SELECT *, min(doc_id) OVER (PARTITION BY digest) AS kept FROM units
+  SELECT *, min(doc_id) OVER (PARTITION BY md5(norm)) AS kept, row_number() OVER (PARTITION BY doc_id, md5(norm) ORDER BY low, high DESC) AS nth FROM both_levels
 ), gone AS (
-  SELECT *, seq - row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM ranked WHERE doc_id <> kept OR nth > 1
+  SELECT *, max(high) OVER (PARTITION BY doc_id ORDER BY low, high DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM ranked WHERE doc_id <> kept OR nth > 1
+), runs AS (
+  SELECT *, sum(CASE WHEN so_far IS NULL OR low - so_far >= {UNIT_WORDS} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY low, high DESC ROWS UNBOUNDED PRECEDING) AS run FROM gone
 )
 SELECT doc_id, CAST(min(start) AS INTEGER) AS start, CAST(max("end") AS INTEGER) AS "end", count(*) AS n_units,
-  CAST(sum(words) AS BIGINT) AS n_words, arg_min(kept, seq) AS kept_doc_id
-FROM gone GROUP BY doc_id, run HAVING sum(words) >= {MIN_WORDS}
+  CAST(max(high) - min(low) AS BIGINT) AS n_words, arg_min(kept, low * 4294967296 - high) AS kept_doc_id
+FROM runs GROUP BY doc_id, run HAVING max(high) - min(low) >= {MIN_WORDS}
 """
