@@ -1,12 +1,14 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are dealt to shards by ranges of their id, whose bounds are order statistics of a hash-selected set of ids: a
-function of the data alone. A task writes its shards in order of (id, url, digest), rolls a file when its compressed
+Records are dealt to shards by ranges of their id. How many shards there are follows from the payloads' bytes, and their
+bounds are order statistics of a hash-selected set of ids: both are functions of the data alone. A task writes one shard in
+order of (id, url, digest), rolls a file when its compressed
 size passes ``roll_bytes``, writes under a temporary name and renames when the file is complete. The manifest, one
 row for each record, is a Parquet table that Spark's committer publishes last; readers open what it lists and
 nothing else, so files of lost or repeated attempts are harmless, and a repeated attempt writes the same bytes.
 
-Defined cases: a null payload is empty. Null ids come first and never serve as a response that others revisit.
+Defined cases: a null payload is empty. Null ids come first, revisit the record of an equal payload that has the largest
+id, and never serve as a response that others revisit: where no record of a payload has an id, all are responses.
 Records of equal payload that tie for the largest id are all responses. Null urls become ``urn:page:<id>``.
 Further columns of the input aren't archived. An empty table makes an empty manifest and no file.
 """
@@ -32,8 +34,12 @@ from .common import shared_root, table
 #: The date of every record, unless the caller gives another: a writer's clock would make files differ.
 DATE = "2020-01-01T00:00:00Z"
 ROLL_BYTES = 32_000_000
+#: Payload bytes of a shard, and how many shards there are at most: beyond that number shards grow, so that what the
+#: driver holds of their bounds doesn't.
+SHARD_BYTES = 32_000_000
+MAX_SHARDS = 16_384
 #: Ids selected by hash for each bound between shards.
-IDS_PER_SHARD = 64
+IDS_PER_SHARD = 32
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "page_id long, file string, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -144,7 +150,6 @@ def shard_bounds(keys: DataFrame, shards: int) -> list[tuple[int, int]]:
 def write_archives(pages: DataFrame, folder: str, *, shards: int | None = None, roll_bytes: int = ROLL_BYTES, min_revisit_bytes: int = 0, date: str = DATE) -> DataFrame:
     """Write columns page_id, url, html of ``pages`` as WARC files below ``folder``; the manifest, read back."""
     spark = pages.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
@@ -152,6 +157,9 @@ def write_archives(pages: DataFrame, folder: str, *, shards: int | None = None,
     ).withColumn("digest", F.unhex(F.sha1("payload")))
     rows = rows.withColumn("page_key", F.coalesce("page_id", F.lit(-(2**63)))).withColumn("tie", F.xxhash64(F.coalesce("url", F.lit("")), "digest"))
     narrow = rows.select("page_id", "page_key", "tie", "digest", F.length("payload").alias("size"))
+    if shards is None:
+        total = narrow.agg(F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()[0]
+        shards = min(MAX_SHARDS, max(1, -(-total // SHARD_BYTES)))
     bounds = shard_bounds(narrow, shards)
     low = np.array(bounds, np.int64).reshape(-1, 2)
 
@@ -165,20 +173,21 @@ def write_archives(pages: DataFrame, folder: str, *, shards: int | None = None,
         return pd.Series(out.astype(np.int32))
 
     # Narrow rows decide what is a revisit; payloads are shuffled once, with those decisions before them.
-    same = narrow.filter(F.col("page_id").isNotNull() & (F.col("size") >= min_revisit_bytes))
-    groups = same.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = same.join(groups, "digest").filter("page_id <> refers_to").select("page_key", "tie", "digest", "refers_to").distinct()
+    same = narrow.filter(F.col("size") >= min_revisit_bytes)
+    groups = same.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
+    revisits = same.join(groups, "digest").filter("page_id is null or page_id <> refers_to").select("page_key", "tie", "digest", "refers_to").distinct()
     order = ["shard", "page_key", "tie", "digest", "rank"]
     both = rows.select("page_key", "tie", "digest", F.lit(1).alias("rank"), F.lit(None).cast("long").alias("refers_to"), "page_id", "url", "payload").unionByName(
         revisits.select("page_key", "tie", "digest", F.lit(0).alias("rank"), "refers_to"), allowMissingColumns=True
     )
-    dealt = both.withColumn("shard", shard_of("page_key", "tie")).repartition(shards, "shard").sortWithinPartitions(*order)
+    dealt = both.withColumn("shard", shard_of("page_key", "tie")).repartitionById(shards, "shard").sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, told = None, None
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):  # one page at a time as Python objects
+                r = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
                 key = (r["page_key"], r["tie"], r["digest"])
                 if r["rank"] == 0:
                     told = (key, r["refers_to"])
@@ -187,7 +196,7 @@ def write_archives(pages: DataFrame, folder: str, *, shards: int | None = None,
                     if files:
                         files.close()
                     files = _Files(folder, r["shard"], roll_bytes)
-                refers = told[1] if told and told[0] == key else None
+                refers = told[1] if told and told[0] == key and told[1] != r["page_id"] else None
                 name, at, size = files.add(make_record(r["page_id"], r["url"], r["payload"], refers, date))
                 out.append({"page_id": r["page_id"], "file": name, "offset": at, "length": size})
             yield pa.RecordBatch.from_pylist(out, manifest_arrow)
