@@ -42,7 +42,7 @@ SMALL = 4
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
 PIECE = "part long, doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
-#: A run of so many characters without a break is left to the library whose merges take n log n time.
+#: A run of so many characters without a break goes to the tokenizer itself, whose merges take n log n time.
 LONG_RUN = 1000
 SPACES = re.compile(r"\s{%d}" % LONG_RUN)
 
@@ -52,7 +52,7 @@ def _encoders(path: str):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    added = [t.content for t in slow.get_added_tokens_decoder().values()]
     fast, ranks = None, Path(path).with_suffix(".tiktoken")
     if ranks.exists():
         import base64
@@ -62,13 +62,17 @@ def _encoders(path: str):
 
         found = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.open("rb"))}
         fast = tiktoken.Encoding(ranks.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=found, special_tokens={})
-    return slow, fast
+    return slow, fast, added
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
-    """The text's ids. Where the vocabulary also exists as ranks, these give the same ids in a third of the time."""
-    slow, fast = _encoders(path)
-    if fast is None or len(text) >= LONG_RUN and (max(map(len, text.split()), default=0) >= LONG_RUN or SPACES.search(text)):
+    """The ids that the tokenizer gives without adding special tokens; those that the text itself spells out are found.
+
+    Where the vocabulary also exists as ranks, these give the same ids in a third of the time. They know no special
+    token, and long runs take them quadratic time: such texts go to the tokenizer itself.
+    """
+    slow, fast, added = _encoders(path)
+    if fast is None or any(x in text for x in added) or len(text) >= LONG_RUN and (max(map(len, text.split()), default=0) >= LONG_RUN or SPACES.search(text)):
         return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
     return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
@@ -278,7 +282,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
         histogram[n] = count
     where = plan(histogram, size).ranges()
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = pieces.join(per_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("before")), ["length", "part"])
+    # Counts by task and length grow with the corpus: they are merged with the pieces, never broadcast.
+    ranked = pieces.join(per_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("before")).hint("merge"), ["length", "part"])
     keys = where["length"] << 44 | where["low"]
     held = docs.sparkSession.sparkContext.broadcast((keys, where["low"], where["base"], where["times"], where["offset"]))
     out = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
