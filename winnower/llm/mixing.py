@@ -91,8 +91,10 @@ def fit_rates(rows: DataFrame, targets: list[float], *, least: float = 0.0, budg
     """The rate of a row of posteriors() as a column expression, and the totals that it gives.
 
     Minimises the squared miss of ``budget`` x ``targets`` over rates of ``least`` or more, from rate 1. Each round
-    steps along the gradient in the metric of the rows that may still move, and projects. Without a budget the
-    tokens stay as many as they are; with a ``least`` above 0, the budget is what the scarcest target asks for.
+    steps along the gradient in the metric of the rows that may still move, and projects. Where no such step comes closer, it
+    steps along the gradient itself, and ends where that doesn't help either: at the projected optimum, whose miss is what the
+    totals leave. Without a budget the tokens stay as many as they are; with a ``least`` above 0, the budget is what the
+    scarcest target asks for.
     """
     k = len(targets)
     p = [F.col("p")[i] for i in range(k)]
@@ -111,6 +113,15 @@ def fit_rates(rows: DataFrame, targets: list[float], *, least: float = 0.0, budg
             gram[i][j] = gram[j][i] = v
         return list(row[:k]), gram
 
+    def slope(rate: Column, miss: list[float]) -> tuple[Column, float]:
+        """The gradient at a row, and the length of the step that a line along the projected gradient asks for."""
+        along = F.lit(0.0)
+        for x, m in zip(p, miss, strict=True):
+            along = along + F.col("tokens") * x * F.lit(m)
+        free = F.when((F.col("rate") > least) | (F.col("along") < 0), F.col("along")).otherwise(F.lit(0.0))
+        row = rows.withColumn("rate", rate).withColumn("along", along).withColumn("free", free).agg(F.coalesce(F.sum(F.col("free") * F.col("free")), F.lit(0.0)), *(F.coalesce(F.sum(F.col("free") * F.col("tokens") * x), F.lit(0.0)) for x in p)).first()
+        return along, row[0] / (sum(v * v for v in row[1:]) or 1.0)
+
     totals, gram = sums(rate, every=True)  # at the start every row may move
     natural = sum(totals)
     reachable = [t if m > 0 else 0.0 for t, m in zip(targets, totals, strict=True)]
@@ -120,24 +131,33 @@ def fit_rates(rows: DataFrame, targets: list[float], *, least: float = 0.0, budg
     if budget is None:
         budget = max([m / s for m, s in zip(totals, shares, strict=True) if s], default=natural) if least > 0 else natural
     wanted = [budget * s for s in shares]
+
+    def closer(changes: list[Column], miss: list[float]) -> tuple[Column, list[float], list[list[float]]] | None:
+        for change in changes:  # shorter steps where projection makes the whole one overshoot
+            tried = F.greatest(F.lit(least), rate - change)
+            now, new_gram = sums(tried)
+            if sum((m - t) ** 2 for m, t in zip(now, wanted, strict=True)) < (1 - 1e-6) * sum(x * x for x in miss):
+                return tried, now, new_gram
+        return None
+
+    def combined(step: list[float]) -> Column:
+        change = F.lit(0.0)
+        for x, c in zip(p, step, strict=True):
+            change = change + x * F.lit(c)
+        return change
+
     for _ in range(rounds):
         miss = [m - t for m, t in zip(totals, wanted, strict=True)]
         if max(map(abs, miss)) <= tolerance * budget:
             break
         ridge = 1e-3 * max(gram[i][i] for i in range(k)) or 1.0
         step = solve([[v + (ridge if i == j else 0.0) for j, v in enumerate(r)] for i, r in enumerate(gram)], miss)
-        better = None
-        for part in (1.0, 0.5, 0.125, 0.03):  # shorter steps where projection makes the whole one overshoot
-            change = F.lit(0.0)
-            for x, c in zip(p, step, strict=True):
-                change = change + x * F.lit(c * part)
-            tried = F.greatest(F.lit(least), rate - change)
-            now, new_gram = sums(tried)
-            if sum((m - t) ** 2 for m, t in zip(now, wanted, strict=True)) < (1 - 1e-6) * sum(x * x for x in miss):
-                better = tried, now, new_gram
-                break
+        better = closer([combined([c * part for c in step]) for part in (1.0, 0.5, 0.125, 0.03)], miss)
+        if better is None:
+            along, length = slope(rate, miss)
+            better = closer([along * F.lit(length * part) for part in (1.0, 0.25, 0.05)], miss)
         if better is None:
-            break  # the projected optimum
+            break
         rate, totals, gram = better
     return rate, totals
 
