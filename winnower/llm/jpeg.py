@@ -30,12 +30,13 @@ class JpegError(ValueError):
 
 
 def canonical(bits: bytes, values: bytes) -> list[tuple[int, int, int]]:
-    """(symbol, code, length) of each code, by the canonical rule of the standard."""
+    """(symbol, code, length) of each code, by the canonical rule of the standard; JpegError where the table is short or
+    names more codes of a length than there are."""
     out, code, k = [], 0, 0
     for length, n in enumerate(bits, 1):
         for _ in range(n):
-            if k >= len(values):
-                raise JpegError("short Huffman table")
+            if k >= len(values) or code >= 1 << length:
+                raise JpegError("short or overfull Huffman table")
             out.append((values[k], code, length))
             code, k = code + 1, k + 1
         code <<= 1
@@ -139,6 +140,16 @@ class Image:
     end: int = 0
     segments: list[tuple[int, int]] = field(default_factory=list)
 
+    def grid(self) -> tuple[int, int]:
+        """MCUs across and down."""
+        single = len(self.components) == 1
+        h, v = (1, 1) if single else (max(c[1] for c in self.components), max(c[2] for c in self.components))
+        return -(-self.width // (8 * h)), -(-self.height // (8 * v))
+
+    def blocks(self) -> int:
+        across, down = self.grid()
+        return across * down * (1 if len(self.components) == 1 else sum(c[1] * c[2] for c in self.components))
+
 
 def parse(data: bytes, at: int = 0) -> Image:
     """Markers of the image that begins at ``at``; JpegError where it isn't one that this decoder reads."""
@@ -168,12 +179,18 @@ def parse(data: bytes, at: int = 0) -> Image:
                 if precision != 8 or not image.height or not image.width:
                     raise JpegError("size or precision not supported")
                 image.components = [(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * n, 3)]
+                if any(not (1 <= h <= 4 and 1 <= v <= 4) for _, h, v, _ in image.components):
+                    raise JpegError("sampling factors outside 1 to 4")
             elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 raise JpegError("not baseline")
             elif marker == 0xC4:
                 while body:
                     n = sum(body[1:17])
-                    image.tables[body[0] >> 4, body[0] & 15] = (body[1:17], body[17 : 17 + n])
+                    table = body[1:17], body[17 : 17 + n]
+                    if len(body) < 17 or body[0] >> 4 > 1:
+                        raise JpegError("bad Huffman table")
+                    lookup(*table)
+                    image.tables[body[0] >> 4, body[0] & 15] = table
                     body = body[17 + n :]
             elif marker == 0xDD:
                 image.interval = struct.unpack(">H", body)[0]
@@ -196,6 +213,8 @@ def parse(data: bytes, at: int = 0) -> Image:
     stop = marks[stops[0]]
     cuts = marks[restart & (marks < stop)]
     image.segments = list(zip([at, *(at + cuts + 2).tolist()], [*(at + cuts).tolist(), at + int(stop)], strict=True))
+    if image.blocks() > 4 * int(stop):  # a block takes two bits at least
+        raise JpegError("scan too short for the size")
     end = data.find(b"\xff\xd9", at + int(stop))
     image.end = end + 2 if end >= 0 else len(data)
     return image
@@ -208,9 +227,7 @@ def thumbnails(images: list[tuple[bytes, Image]]) -> list[np.ndarray | None]:
     plans, pieces, dcs = [], [], []
     for i, (data, image) in enumerate(images):
         single = len(image.components) == 1
-        h = 1 if single else max(c[1] for c in image.components)
-        v = 1 if single else max(c[2] for c in image.components)
-        across, down = -(-image.width // (8 * h)), -(-image.height // (8 * v))
+        across, down = image.grid()
         plan = []
         try:
             for c, dc, ac in image.scan:

@@ -53,7 +53,7 @@ def read_images(values: list[bytes | None]) -> list[dict]:
         except jpeg.JpegError:
             out[i] = {"status": "bad"}
     thumbs: dict[int, list] = {}
-    for i, thumb in zip(owner, jpeg.thumbnails(images), strict=True):
+    for i, thumb in zip(owner, jpeg.thumbnails(images), strict=True):  # None where a scan is broken
         thumbs.setdefault(i, []).append(thumb)
     for i, parts in thumbs.items():
         if any(x is None for x in parts) or len({x.shape[1] for x in parts}) > 1:
