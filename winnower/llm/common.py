@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, a laptop) a local folder is made and set as the checkpoint folder.
-    """
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``. ValueError on a cluster where that
+    is unset, for no other folder is known to be shared; on one machine a local folder is made and set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if not root and spark.sparkContext.master.split("[")[0] == "local":  # one machine: tests, a laptop
         root = "file://" + tempfile.mkdtemp(prefix="winnower-")
         spark.conf.set("spark.checkpoint.dir", root)
+    if not root:
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
