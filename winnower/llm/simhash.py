@@ -17,14 +17,14 @@ document wherever their fingerprints link. Columns beside id and text aren't rea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, DataType, LongType, StructField, StructType
 
 from .common import staged, table
 from .graph import components
@@ -54,8 +54,12 @@ def text_hashes(text: bytes, words: int = SHINGLE_WORDS) -> list[int]:
 
 
 def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
-    """64 bits, each 1 if it is set in over half the shingles' hashes."""
-    hashes = np.array(text_hashes(text or b"", words), np.uint64)
+    """The fingerprint of a text's shingles."""
+    return fingerprint_of(np.array(text_hashes(text or b"", words), np.uint64))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if it is set in over half the hashes."""
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
@@ -64,11 +68,24 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-@F.arrow_udf(LongType())
-def fingerprint_of(text: pa.Array) -> pa.Array:
-    """The fingerprint's bits as a signed long."""
-    values = [fingerprint(x) for x in text.cast(pa.binary()).to_pylist()]
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+def with_column(df: DataFrame, text: str, name: str, kind: DataType, make: Callable[[list[bytes]], pa.Array]) -> DataFrame:
+    """``df`` and a last column that is made of its text column's bytes, null texts as empty ones. All Python of a stage runs in
+    one kind of worker, so that an executor holds one for each core."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = make([x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*(f"c{i}" for i in range(batch.num_columns)), "made"])
+
+    places = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)])
+    found = df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, StructType([*places, StructField("made", kind)]))
+    return found.toDF(*df.columns, name)
+
+
+def _fingerprints(texts: list[bytes]) -> pa.Array:
+    """The fingerprints' bits as signed longs."""
+    return pa.array(np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64))
 
 
 def _syndromes(half: np.ndarray) -> np.ndarray:
@@ -210,7 +227,8 @@ def fingerprint_links(fps: DataFrame, *, bits: int = MAX_BITS, block: int = BLOC
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits: int = MAX_BITS) -> DataFrame:
     """id, fp and component_id (the smallest id reachable) of every row."""
-    prints = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprint_of(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")), "prints")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prints = staged(with_column(texts, "text", "fp", LongType(), _fingerprints).drop("text"), "prints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     # Equal ids with several fingerprints tie these together.
     ties = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).filter("n > 1 and a <> b").select("doc_id", "a")
@@ -239,14 +257,13 @@ MAX_COMMON = 50_000
 PAIRS_AT_ONCE = 500_000
 
 
-def _contents(texts: pa.Array) -> pa.Array:
-    return pa.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) - (1 << 63) for t in texts.to_pylist()], pa.int64())
+#: Contents whose hashes are broadcast at most: 8 MB. More are joined by a shuffle of the texts.
+MAX_ENDS = 1_000_000
 
 
-@F.arrow_udf(LongType())
-def content_of(text: pa.Array) -> pa.Array:
-    """A hash of a text's words: equal for texts that differ in case of A-Z and white space alone."""
-    return _contents(text.cast(pa.binary()))
+def _contents(texts: list[bytes]) -> pa.Array:
+    """A hash of each text's words: equal for texts that differ in case of A-Z and white space alone."""
+    return pa.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) - (1 << 63) for t in texts], pa.int64())
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -254,9 +271,8 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.array(text_hashes(text, SIMILAR_WORDS), np.uint64).view(np.int64))
 
 
-@F.arrow_udf(ArrayType(LongType()))
-def shingles_of(text: pa.Array) -> pa.Array:
-    return pa.array([shingles(t) for t in text.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+def _shingle_sets(texts: list[bytes]) -> pa.Array:
+    return pa.array([shingles(t) for t in texts], pa.list_(pa.int64()))
 
 
 def sketch(found: np.ndarray, bits: int) -> np.ndarray:
@@ -292,16 +308,18 @@ def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def _prepared(common: np.ndarray, counts: np.ndarray):
-    """(doc_id, text) to doc_id, content, size, sketch and prefix."""
+    """(doc_id, text) to doc_id, content, fingerprint, size, sketch and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            sets = [shingles(t) for t in texts.to_pylist()]
+        for batch in (b.slice(low, 1000) for b in batches for low in range(0, b.num_rows, 1000)):
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            hashes = [np.array(text_hashes(t, SIMILAR_WORDS), np.uint64) for t in texts]
+            prints = np.array([fingerprint_of(x) for x in hashes], np.uint64).view(np.int64)
+            sets = [np.unique(x.view(np.int64)) for x in hashes]
             bits = np.array([sketch(x, 64 * SKETCH).view(np.int64) for x in sets], np.int64).reshape(-1, SKETCH)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _contents(texts), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(bits[:, i].copy()) for i in range(SKETCH)), pa.array([long_sketch(x) for x in sets], pa.binary()), pa.array([prefix(x, common, counts) for x in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "content", "size", *SKETCH_COLUMNS, "bits", "prefix"],
+                [batch.column(0), _contents(texts), pa.array(prints), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(bits[:, i].copy()) for i in range(SKETCH)), pa.array([long_sketch(x) for x in sets], pa.binary()), pa.array([prefix(x, common, counts) for x in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "content", "fp", "size", *SKETCH_COLUMNS, "bits", "prefix"],
             )
 
     return run
@@ -419,7 +437,7 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles (sorted) that many of the texts have, as far as ORDER_ROWS contents tell, and their counts."""
     part = min(1_000_000, int(1_000_000 * ORDER_ROWS / max(1, texts.count())))
     told = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part).distinct()
-    counts = told.select(F.explode(shingles_of("text")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    counts = with_column(told, "text", "found", ArrayType(LongType()), _shingle_sets).select(F.explode("found").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
     found = counts.orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).collect()
     pairs = np.array(sorted((r.shingle, r.n) for r in found), np.int64).reshape(-1, 2)
     return pairs[:, 0].copy(), pairs[:, 1].copy()
@@ -429,23 +447,37 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, content and component of every row: documents linked by a Jaccard similarity of their five-word
     shingles of SIMILARITY or more, exactly.
 
-    Texts of equal words are one node, whatever their number. Nodes that share a shingle of their prefixes meet. Crowds
-    are first linked by a forest of candidates, each verified. Then every pair of nodes that isn't connected by verified
-    links and that size and sketch don't rule out is a candidate, and verified, so no forest decides what is tried.
+    Texts of equal words are one node, whatever their number. Fingerprints of five-word shingles that anchors bring together
+    within MAX_BITS make the first candidates, and nodes that share a shingle of their prefixes meet: crowds of these are first
+    linked by a forest of candidates. All of them are verified. Then every pair of nodes that isn't connected by verified
+    links and that size and sketch don't rule out is a candidate, and verified, so neither fingerprints nor a forest decide what
+    is tried.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    columns = ", ".join(f"{c} long" for c in ["doc_id", "content", "size", *SKETCH_COLUMNS])
-    prints = staged(texts.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_prepared(*common_shingles(texts.select("text"))), f"{columns}, bits binary, prefix array<long>"), "similar")
-    nodes = staged(prints.drop("doc_id").dropDuplicates(["content"]), "contents")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    columns = ", ".join(f"{c} long" for c in ["doc_id", "content", "fp", "size", *SKETCH_COLUMNS])
+    rows = texts.mapInArrow(_prepared(*common_shingles(texts.select("text"))), f"{columns}, bits binary, prefix array<long>")
+    nodes = staged(rows.drop("doc_id").dropDuplicates(["content"]), "contents")
+    prints = staged(with_column(texts, "text", "content", LongType(), _contents).drop("text"), "similar")
     every = nodes.select("content", F.explode("prefix").alias("shingle"))
     prefixes = staged(every.join(every.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle"), "shingle"), "prefixes")
     alone = nodes.select("content", F.col("content").alias("component"), "size", *SKETCH_COLUMNS)
-    by_forest = _verified(_dealt(prefixes, alone, CROWD + 1, block).mapInArrow(_candidates(True), "a long, b long"), nodes, texts)
-    first = staged(components(by_forest), "crowds").withColumnRenamed("node", "content")
-    joined = alone.drop("component").join(first, "content", "left").withColumn("component", F.coalesce("component", "content"))
+    first = _dealt(prefixes, alone, CROWD + 1, block).mapInArrow(_candidates(True), "a long, b long")
+    near = _verified(first.unionByName(_near_prints(nodes, block)), nodes, texts)
+    crowds = staged(components(near), "crowds").withColumnRenamed("node", "content")
+    joined = alone.drop("component").join(crowds, "content", "left").withColumn("component", F.coalesce("component", "content"))
     links = _verified(_dealt(prefixes, staged(joined, "joined"), 2, block).mapInArrow(_candidates(False), "a long, b long"), nodes, texts)
-    groups = components(by_forest.unionByName(links))
-    return prints.select("doc_id", "content").join(groups.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "content", F.coalesce("component", "content").alias("component"))
+    groups = components(near.unionByName(links))
+    return prints.join(groups.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "content", F.coalesce("component", "content").alias("component"))
+
+
+def _near_prints(nodes: DataFrame, block: int) -> DataFrame:
+    """Pairs of nodes that connect all fingerprints within MAX_BITS, and all nodes of equal ones."""
+    heads = staged(nodes.groupBy("fp").agg(F.min("content").alias("head")), "prints")
+    same = nodes.select("content", "fp").join(heads, "fp").filter("content <> head").select(F.col("head").alias("x"), F.col("content").alias("y"))
+    found = fingerprint_links(heads.select("fp"), block=block)
+    side = lambda fp, c: heads.select(F.col("fp").alias(fp), F.col("head").alias(c))
+    linked = found.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
+    return linked.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -453,9 +485,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     bits = lambda c: nodes.select(F.col("content").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
     both = pairs.distinct().join(bits("a"), "a").join(bits("b"), "b").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("size"), "bits_a", "bits_b")
     tried = staged(both.mapInArrow(_sketched, "a long, b long"), "tried")
-    ends = tried.select(F.col("a").alias("content")).union(tried.select("b")).distinct()
-    sets = texts.select(content_of("text").alias("content"), "text").join(ends, "content").groupBy("content").agg(F.min("text").alias("text"))
-    sets = staged(sets.select("content", shingles_of("text").alias("shingles")), "shingles")
+    ends = staged(tried.select(F.col("a").alias("content")).union(tried.select("b")).distinct(), "ends")
+    if ends.count() <= MAX_ENDS:  # then texts that aren't compared aren't moved
+        ends = F.broadcast(ends)
+    found = with_column(texts.select("text"), "text", "content", LongType(), _contents).join(ends, "content").groupBy("content").agg(F.min("text").alias("text"))
+    sets = staged(with_column(found, "text", "shingles", ArrayType(LongType()), _shingle_sets).drop("text"), "shingles")
     side = lambda c: sets.select(F.col("content").alias(c), F.col("shingles").alias(f"shingles_{c}"))
     return staged(tried.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_similar, "a long, b long"), "similar-links")
 
@@ -466,7 +500,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = similar_groups(docs, id_col, text_col).withColumn("rank", rank(F.col("doc_id")))
     # Of each component the least id, and of that id's texts one.
     best = groups.groupBy("component", "rank").agg(F.min("content").alias("_content")).groupBy("component").agg(F.min_by("_content", "rank").alias("_content"), F.min("rank").alias("_rank"))
-    keyed = docs.withColumn("_rank", rank(F.col(id_col))).withColumn("_content", content_of(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = with_column(docs, text_col, "_content", LongType(), _contents).withColumn("_rank", rank(F.col(id_col)))
     kept = keyed.join(best.select("_rank", "_content"), ["_rank", "_content"])
     return kept.dropDuplicates(["_rank", "_content"]).select(*docs.columns)
 
