@@ -4,7 +4,7 @@ A multinomial naive Bayes classifier over hashed words is fitted on the labelled
 posterior over domains. Rates r >= 0 are then fitted by projected gradient so that the expected tokens of each domain,
 the sum of rate x tokens x posterior, match the targets. The state of a round is one number for each domain: the
 gradient at a document is a combination of its own posteriors, so a round is one map-side summed aggregate over a
-narrow table, and rates are a column expression of that table and never joined.
+narrow table, and rates are a column expression of that table, written now and then, and never joined.
 
 The classifier's counts are at most ``buckets`` x domains, summed before the shuffle: a bound on what is broadcast. The
 narrow table (id, tokens, posteriors) is written once and read in every round.
@@ -27,6 +27,11 @@ FIT_ROWS = 50_000
 ROUNDS = 40
 #: Largest relative miss of a domain's total at which rounds end.
 TOLERANCE = 1e-3
+#: Rounds also end where a step along the projected gradient can't take this share off the squared miss: at the optimum that
+#: the bounds leave.
+GAIN = 1e-2
+#: Rounds after which rates are written, so that their expression stays short.
+WRITE_ROUNDS = 8
 #: Domains of the labels table are quality + 2 x toxic; of the whole, these shares are wanted.
 TARGETS = {0: 0.10, 1: 0.85, 2: 0.01, 3: 0.04}
 #: After toxic documents are gone: two domains by quality, and little of what still looks toxic.
@@ -67,8 +72,9 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, *, buckets: int = BUCKET
     return names, wide.select("bucket", F.array(*(x - mean for x in logs)).alias("weights"))
 
 
-def posteriors(docs: DataFrame, names: list[int], weights: DataFrame, priors: list[float]) -> DataFrame:
-    """A written table: doc_id, text_hash, tokens and p, the posteriors in the order of ``names``.
+def posteriors(docs: DataFrame, names: list[int], weights: DataFrame, priors: list[float], *, buckets: int = BUCKETS) -> DataFrame:
+    """A written table: doc_id, text_hash, tokens and p, the posteriors in the order of ``names``. ``weights`` and ``buckets`` are
+    those of fit_classifier().
 
     The words' log odds are summed and divided by the root of their number, so that long texts don't saturate.
     """
@@ -76,8 +82,8 @@ def posteriors(docs: DataFrame, names: list[int], weights: DataFrame, priors: li
         F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _words(F.coalesce("text", F.lit(""))).alias("words")
     )
     each = words.select("row", "doc_id", "text_hash", F.size("words").cast("long").alias("tokens"), F.explode_outer(F.array_distinct("words")).alias("word"))
-    each = each.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)))
-    # At most BUCKETS rows, so they may be broadcast. A text's words are summed by the task that reads them.
+    each = each.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
+    # At most ``buckets`` rows, so they may be broadcast. A text's words are summed by the task that reads them.
     summed = each.join(F.broadcast(weights), "bucket", "left").groupBy("row", "doc_id", "text_hash", "tokens").agg(
         F.greatest(F.count("word"), F.lit(1)).alias("n"), *(F.coalesce(F.sum(F.col("weights")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(len(names)))
     )
@@ -87,18 +93,18 @@ def posteriors(docs: DataFrame, names: list[int], weights: DataFrame, priors: li
     return staged(peaked.select("doc_id", "text_hash", "tokens", F.transform("e", lambda x: x / total).alias("p")), "posteriors")
 
 
-def fit_rates(rows: DataFrame, targets: list[float], *, least: float = 0.0, budget: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[Column, list[float]]:
-    """The rate of a row of posteriors() as a column expression, and the totals that it gives.
+def fit_rates(rows: DataFrame, targets: list[float], *, least: float = 0.0, budget: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float]]:
+    """The rows of posteriors() with their ``rate``, and the totals that these give.
 
     Minimises the squared miss of ``budget`` x ``targets`` over rates of ``least`` or more, from rate 1. Each round
-    steps along the gradient in the metric of the rows that may still move, and projects. Where no such step comes closer, it
-    steps along the gradient itself, and ends where that doesn't help either: at the projected optimum, whose miss is what the
-    totals leave. Without a budget the tokens stay as many as they are; with a ``least`` above 0, the budget is what the
+    steps along the gradient in the metric of the rows that may still move, and projects; where no such step comes closer, it
+    steps along the projected gradient itself, and ends where that gains nothing more: what the totals leave is then the
+    least miss that there is. Without a budget the tokens stay as many as they are; with a ``least`` above 0, the budget is what the
     scarcest target asks for.
     """
     k = len(targets)
     p = [F.col("p")[i] for i in range(k)]
-    rate = F.lit(1.0)
+    rows, rate = rows.withColumn("start", F.lit(1.0)), F.col("start")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
     def sums(rate: Column, every: bool = False) -> tuple[list[float], list[list[float]]]:
@@ -113,20 +119,21 @@ def fit_rates(rows: DataFrame, targets: list[float], *, least: float = 0.0, budg
             gram[i][j] = gram[j][i] = v
         return list(row[:k]), gram
 
-    def slope(rate: Column, miss: list[float]) -> tuple[Column, float]:
-        """The gradient at a row, and the length of the step that a line along the projected gradient asks for."""
+    def slope(rate: Column, miss: list[float]) -> tuple[Column, float, float]:
+        """The gradient at a row, the length of the best step along its projection, and what of the squared miss that takes off."""
         along = F.lit(0.0)
         for x, m in zip(p, miss, strict=True):
             along = along + F.col("tokens") * x * F.lit(m)
         free = F.when((F.col("rate") > least) | (F.col("along") < 0), F.col("along")).otherwise(F.lit(0.0))
         row = rows.withColumn("rate", rate).withColumn("along", along).withColumn("free", free).agg(F.coalesce(F.sum(F.col("free") * F.col("free")), F.lit(0.0)), *(F.coalesce(F.sum(F.col("free") * F.col("tokens") * x), F.lit(0.0)) for x in p)).first()
-        return along, row[0] / (sum(v * v for v in row[1:]) or 1.0)
+        length = row[0] / (sum(v * v for v in row[1:]) or 1.0)
+        return along, length, length * row[0] / sum(m * m for m in miss)
 
     totals, gram = sums(rate, every=True)  # at the start every row may move
     natural = sum(totals)
     reachable = [t if m > 0 else 0.0 for t, m in zip(targets, totals, strict=True)]
     if not natural or not sum(reachable):
-        return rate, totals
+        return rows.withColumn("rate", rate).drop("start"), totals
     shares = [t / sum(reachable) for t in reachable]
     if budget is None:
         budget = max([m / s for m, s in zip(totals, shares, strict=True) if s], default=natural) if least > 0 else natural
@@ -136,7 +143,7 @@ def fit_rates(rows: DataFrame, targets: list[float], *, least: float = 0.0, budg
         for change in changes:  # shorter steps where projection makes the whole one overshoot
             tried = F.greatest(F.lit(least), rate - change)
             now, new_gram = sums(tried)
-            if sum((m - t) ** 2 for m, t in zip(now, wanted, strict=True)) < (1 - 1e-6) * sum(x * x for x in miss):
+            if sum((m - t) ** 2 for m, t in zip(now, wanted, strict=True)) < (1 - 1e-3) * sum(x * x for x in miss):
                 return tried, now, new_gram
         return None
 
@@ -146,20 +153,22 @@ def fit_rates(rows: DataFrame, targets: list[float], *, least: float = 0.0, budg
             change = change + x * F.lit(c)
         return change
 
-    for _ in range(rounds):
+    for n in range(1, rounds + 1):
         miss = [m - t for m, t in zip(totals, wanted, strict=True)]
         if max(map(abs, miss)) <= tolerance * budget:
             break
         ridge = 1e-3 * max(gram[i][i] for i in range(k)) or 1.0
         step = solve([[v + (ridge if i == j else 0.0) for j, v in enumerate(r)] for i, r in enumerate(gram)], miss)
-        better = closer([combined([c * part for c in step]) for part in (1.0, 0.5, 0.125, 0.03)], miss)
+        better = closer([combined([c * part for c in step]) for part in (1.0, 0.25)], miss)
         if better is None:
-            along, length = slope(rate, miss)
-            better = closer([along * F.lit(length * part) for part in (1.0, 0.25, 0.05)], miss)
+            along, length, gain = slope(rate, miss)
+            better = closer([along * F.lit(length * part) for part in (1.0, 0.2)], miss) if gain > GAIN else None
         if better is None:
             break
         rate, totals, gram = better
-    return rate, totals
+        if n % WRITE_ROUNDS == 0:
+            rows, rate = staged(rows.withColumn("start", rate), "rates"), F.col("start")
+    return rows.withColumn("rate", rate).drop("start"), totals
 
 
 def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -178,16 +187,16 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [r[-1] for r in rows]
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[int, float] = TARGETS, *, least: float = 0.0, budget: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[int, float] = TARGETS, *, least: float = 0.0, budget: float | None = None, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, text_hash, tokens, domain (the likeliest), p and rate of every document."""
     domains = labelled_domains(labels)
-    names, weights = fit_classifier(docs, domains)
+    names, weights = fit_classifier(docs, domains, buckets=buckets)
     seen = {r.domain: r.n for r in domains.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     counts = [seen.get(d, 0) + 1 for d in names]
-    rows = posteriors(docs, names, weights, [c / sum(counts) for c in counts])
-    rate, _ = fit_rates(rows, [targets.get(d, 0.0) for d in names], least=least, budget=budget)
+    rows = posteriors(docs, names, weights, [c / sum(counts) for c in counts], buckets=buckets)
+    rated, _ = fit_rates(rows, [targets.get(d, 0.0) for d in names], least=least, budget=budget)
     best = F.element_at(F.array(*(F.lit(d) for d in names)), F.array_position("p", F.array_max("p")).cast("int"))
-    return rows.select("doc_id", "text_hash", "tokens", best.alias("domain"), "p", rate.alias("rate"))
+    return rated.select("doc_id", "text_hash", "tokens", best.alias("domain"), "p", "rate")
 
 
 def take(docs: DataFrame, mixed: DataFrame, *, seed: int = 7) -> DataFrame:
