@@ -164,12 +164,28 @@ def test_embeddings(spark):
 
 @pytest.mark.parametrize("task_rows", [3, 50, 8192])
 def test_blocks_lose_no_pair(spark, task_rows):
+    """All links are counted once and connected, however many tasks a cell is split into."""
     rng = np.random.default_rng(3)
     x = np.repeat(rng.standard_normal((12, 32)), 10, axis=0) + 0.28 * rng.standard_normal((120, 32))
-    classes = spark.createDataFrame([(i, 32, r.tolist()) for i, r in enumerate(x)], "class long, dims int, vector array<double>")
-    found = {(r.a, r.b) for r in embeddings.candidate_pairs(classes, 0.9, task_rows=task_rows).collect()}
+    classes = spark.createDataFrame([(i, 32, r.tolist(), 1) for i, r in enumerate(x)], "class long, dims int, vector array<double>, n long")
+    found = embeddings.links(classes, 0.9, task_rows=task_rows).collect()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    assert found >= {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)), strict=True)}
+    near = np.triu(u @ u.T >= 0.9, 1)
+    counted = np.zeros(len(x), int)
+    parent = list(range(len(x)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for r in found:
+        counted[r["class"]] += r.links
+        if r.other is not None:
+            assert near[min(r["class"], r.other), max(r["class"], r.other)]
+            parent[top(r["class"])] = top(r.other)
+    assert counted.tolist() == (near | near.T).sum(axis=1).tolist() and near.any()
+    assert all(top(i) == top(j) for i, j in zip(*np.nonzero(near), strict=True))
 
 
 def test_media(spark, odd):

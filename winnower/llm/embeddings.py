@@ -4,10 +4,15 @@ Unit vectors of cosine c lie at squared distance 2 - 2c. They are rotated by a f
 into blocks of BLOCK_DIMS coordinates. Of two vectors within the whole budget, one block at least lies within its
 share of it, in proportion to its dimensions; this holds for any rotation, so no pair is lost. Each block is
 range-joined: its first two coordinates, turned onto the block's diagonal directions, cut the plane into cells as
-wide as the block's radius; a vector is at home in one cell and visits the forward half of those around it. Cells of
-more than TASK_ROWS rows are split, and each pair of parts that holds rows at home is a task, so no task grows with a cell. A task compares by
-matrix products over blocks of rows and emits pairs within the share; their union is verified on the full
-vectors in double precision.
+wide as the block's radius; a vector is at home in one cell and visits the forward half of those around it, so a pair meets
+in one cell of a block at most. Cells are split into parts, and each pair of parts that holds rows at home is a task. A part
+has one in PARTS of all rows, so that no task grows with a cell and rows aren't sent out more often as the table grows; only
+where that is more than MAX_ROWS, parts stop growing.
+
+A first pass compares the block's coordinates alone and marks rows that have a candidate in their task; a second one brings
+the full vectors of marked rows to the same tasks and verifies every candidate exactly. Of the blocks that
+bring a pair together, the one in which it lies nearest counts it. Tasks put out what is linear in their rows: the number of
+links of each and a spanning forest of the verified links. No pair is written, however large a crowd is.
 
 Equal vectors are one class and are never paired with each other; class sizes go into the number of links.
 
@@ -22,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +36,12 @@ from .graph import components
 
 COSINE = 0.9
 BLOCK_DIMS = 16
-TASK_ROWS = 8192
+#: Parts of all rows of cells, and the least and greatest number of rows of a part.
+PARTS = 128
+LEAST_ROWS = 512
+MAX_ROWS = 65_536
+#: Pairs that are verified at once.
+PAIRS_AT_ONCE = 50_000
 #: What rounding may take from a block's distance.
 SLACK = 1e-5
 SEED = 20240229
@@ -99,89 +110,157 @@ def _deal(cosine: float, width: int):
 
 DEALT = "dims int, block int, cx long, cy long, home boolean, class long, y binary"
 CELL = ["dims", "block", "cx", "cy"]
-
-
-def _meet(cosine: float, width: int):
-    """Rows of (cell, i, j) together, to pairs of classes within the block's share of the budget."""
+TASK = [*CELL, "i", "j"]
+MARKED = "dims int, block int, cx long, cy long, i int, j int, own int, home boolean, class long"
+
+
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one task after another, each as one batch: its six key columns come first."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            key = tuple(keys[low].tolist())
+            if key != last and held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            last = key
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _sides(row: pa.RecordBatch) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Which rows of a task meet which, and of each row whether it is at home and its class: rows at home in part i meet rows of
+    part j, and the other way round; visitors don't meet each other."""
+    i, j = (row.column(c)[0].as_py() for c in (4, 5))
+    own, home, name = (row.column(c).to_numpy(zero_copy_only=False) for c in (6, 7, 8))
+    home = home.astype(bool)
+    left, right = np.flatnonzero(home & (own == i)), np.flatnonzero(own == j)
+    sides = [(left, right)] if i == j else [(left, right), (np.flatnonzero(home & (own == j)), np.flatnonzero(~home & (own == i)))]
+    return sides, home, name
+
+
+def _mark(cosine: float, width: int):
+    """Rows of tasks (TASK, own, home, class, y) to those that have another row within the block's share of the budget."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(parts).combine_chunks().to_batches()
-            if not rows:
-                return
-            row = rows[0]
-            dims, block, i, j = (row.column(c)[0].as_py() for c in (0, 1, 4, 5))
-            own = row.column(6).to_numpy(zero_copy_only=False)
-            home = row.column(7).to_numpy(zero_copy_only=False).astype(bool)
-            name = row.column(8).to_numpy(zero_copy_only=False)
+        for row in _tasks(batches):
+            dims, block = (row.column(c)[0].as_py() for c in (0, 1))
+            sides, _, name = _sides(row)
             low, high = blocks(dims, width)[block]
             y = _floats(row.column(9)).reshape(-1, high - low)
             budget = (2 - 2 * cosine) * (high - low) / dims + SLACK
             square, one = (y * y).sum(axis=1, keepdims=True), np.ones((len(y), 1), np.float32)
             # One product gives minus the squared distance.
             one_side, other_side = np.hstack([2 * y, -square, -one]), np.hstack([y, one, square])
-            # Rows at home in part i meet rows of part j, and the other way round; visitors don't meet each other.
-            left, right = np.flatnonzero(home & (own == i)), np.flatnonzero(own == j)
-            sides = [(left, right)] if i == j else [(left, right), (np.flatnonzero(home & (own == j)), np.flatnonzero(~home & (own == i)))]
+            marked = np.zeros(len(y), bool)
             for a, b in sides:
                 across = np.ascontiguousarray(other_side[b].T)
                 for at in range(0, len(a), 256):
                     p = a[at : at + 256]
-                    r, c = np.divmod(np.flatnonzero(one_side[p] @ across >= -budget), max(len(b), 1))
-                    x, z = name[p[r]], name[b[c]]
-                    both = home[b[c]]
-                    keep = (x != z) & (~both | (x < z)) if i == j else x != z
-                    x, z = x[keep], z[keep]
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, z)), pa.array(np.maximum(x, z))], names=["a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for low, high in zip(cuts, cuts[1:], strict=False):
-                key = tuple(keys[low].tolist())
-                if key != last and held:
-                    yield from flush(held)
-                    held = []
-                last = key
-                held.append(batch.slice(low, high - low))
-        if held:
-            yield from flush(held)
+                    hit = (one_side[p] @ across >= -budget) & (name[p][:, None] != name[b][None, :])
+                    marked[p] |= hit.any(axis=1)
+                    marked[b] |= hit.any(axis=0)
+            if marked.any():
+                yield row.filter(pa.array(marked)).select([*TASK, "own", "home", "class"])
 
     return run
 
 
-def candidate_pairs(classes: DataFrame, cosine: float = COSINE, *, width: int = BLOCK_DIMS, task_rows: int = TASK_ROWS) -> DataFrame:
-    """Distinct pairs (a, b) of the classes (class, dims, vector) that share a block within its part of the budget."""
-    dealt = staged(classes.select("class", "dims", "vector").mapInArrow(_deal(cosine, width), DEALT), "blocks")
-    crowds = dealt.groupBy(*CELL).agg(F.count("*").alias("n"), F.count(F.when(F.col("home"), 1)).alias("homes")).filter("n > 1 and homes > 0")
-    parts = F.ceil(F.col("n") / task_rows).cast("int")
-    met = dealt.join(crowds, CELL).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("class", "home"), F.col("parts")).cast("int"))
-    paired = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        *CELL, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "home", "class", "y"
-    )
-    tasks = paired.repartition(*CELL, "i", "j").sortWithinPartitions(*CELL, "i", "j")
-    return tasks.mapInArrow(_meet(cosine, width), "a long, b long").distinct()
+def _doubles(column: pa.Array) -> np.ndarray:
+    """The bytes of binary values of one length, as rows of doubles."""
+    return np.stack([np.frombuffer(x, np.float64) for x in column.to_pylist()])
+
+
+def _count(cosine: float, width: int):
+    """Marked rows of tasks (TASK, own, home, class, unit, rotated, n) to (class, other, links): the links that this task counts
+    for a class, by rows without an other, and the edges of a spanning forest of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _tasks(batches):
+            dims, block = (row.column(c)[0].as_py() for c in (0, 1))
+            bounds = blocks(dims, width)
+            sides, home, name = _sides(row)
+            unit, rotated = (_doubles(row.column(c)) for c in (9, 10))
+            n = row.column(11).to_numpy(zero_copy_only=False)
+            links, label = np.zeros(len(name), np.int64), np.arange(len(name))
+            edges: list[tuple[int, int]] = []
+
+            def verify(x: np.ndarray, z: np.ndarray) -> None:
+                good = (unit[x] * unit[z]).sum(axis=1) >= cosine  # noqa: B023
+                x, z = x[good], z[good]
+                square = (rotated[x] - rotated[z]) ** 2  # noqa: B023
+                parts = np.stack([square[:, low:high].sum(axis=1) / (high - low) for low, high in bounds], axis=1)  # noqa: B023
+                mine = parts.argmin(axis=1) == block  # noqa: B023
+                x, z = x[mine], z[mine]
+                np.add.at(links, x, n[z])  # noqa: B023
+                np.add.at(links, z, n[x])  # noqa: B023
+                while len(x := x[(apart := label[x] != label[z])]):  # noqa: B023
+                    z = z[apart]
+                    edges.append((name[x[0]], name[z[0]]))  # noqa: B023
+                    label[label == label[z[0]]] = label[x[0]]  # noqa: B023
+
+            for a, b in sides:
+                across = np.ascontiguousarray(unit[b].T)
+                for at in range(0, len(a), 256):
+                    p = a[at : at + 256]
+                    r, c = np.divmod(np.flatnonzero(unit[p] @ across >= cosine - 1e-9), max(len(b), 1))
+                    x, z = p[r], b[c]
+                    keep = name[x] != name[z]
+                    if len(sides) == 1:  # two rows at home in one part meet twice
+                        keep &= ~home[z] | (name[x] < name[z])
+                    x, z = x[keep], z[keep]
+                    for k in range(0, len(x), PAIRS_AT_ONCE):
+                        verify(x[k : k + PAIRS_AT_ONCE], z[k : k + PAIRS_AT_ONCE])
+            some = np.flatnonzero(links)
+            ends = np.array(edges, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(name[some], ends[:, 0])), pa.array([*[None] * len(some), *ends[:, 1].tolist()], pa.int64()), pa.array(np.append(links[some], np.zeros(len(ends), np.int64)))],
+                names=["class", "other", "links"],
+            )
+
+    return run
 
 
-def _verify(cosine: float):
+def _full(cosine: float):
+    """(class, vector, n) to class, unit vector, rotated vector and n."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(2).to_numpy(zero_copy_only=False)
+            sizes = pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
             for dims in np.unique(sizes):
                 part = batch.take(pa.array(np.flatnonzero(sizes == dims)))
-                x, y = (_matrix(part.column(i)) for i in (3, 4))
-                keep = np.flatnonzero((_unit(x) * _unit(y)).sum(axis=1) >= cosine)
-                yield part.take(pa.array(keep)).select(["a", "b"])
+                u = _unit(_matrix(part.column(1)))
+                both = [pa.array([r.tobytes() for r in m], pa.binary()) for m in (u, u @ rotation(int(dims)).T)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *both, part.column(2)], names=["class", "unit", "rotated", "n"])
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, cosine: float = COSINE) -> DataFrame:
+def links(classes: DataFrame, cosine: float = COSINE, *, width: int = BLOCK_DIMS, task_rows: int | None = None) -> DataFrame:
+    """A written table (class, other, links) of the classes (class, dims, vector, n), distinct vectors of which there are n each:
+    how many vectors of other classes are linked with each of a class, in rows without an other that add up, and links
+    (class, other) that connect all that is linked."""
+    dealt = staged(classes.select("class", "dims", "vector").mapInArrow(_deal(cosine, width), DEALT), "blocks")
+    if task_rows is None:
+        task_rows = min(MAX_ROWS, max(LEAST_ROWS, dealt.count() // PARTS))
+    crowds = dealt.groupBy(*CELL).agg(F.count("*").alias("n"), F.count(F.when(F.col("home"), 1)).alias("homes")).filter("n > 1 and homes > 0")
+    parts = F.ceil(F.col("n") / task_rows).cast("int")
+    met = dealt.join(crowds, CELL).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("class", "home"), F.col("parts")).cast("int"))
+    paired = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*CELL, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "home", "class", "y")
+    tasks = paired.repartition(*TASK).sortWithinPartitions(*TASK)
+    marked = staged(tasks.mapInArrow(_mark(cosine, width), MARKED), "marked")
+    full = classes.select("class", "vector", "n").mapInArrow(_full(cosine), "class long, unit binary, rotated binary, n long")
+    again = marked.join(full, "class").select(*TASK, "own", "home", "class", "unit", "rotated", "n").repartition(*TASK).sortWithinPartitions(*TASK)
+    return staged(again.mapInArrow(_count(cosine, width), "class long, other long, links long"), "links")
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, cosine: float = COSINE, task_rows: int | None = None) -> DataFrame:
     """id, n_links, component_id and kept of every row."""
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -190,14 +269,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     grouped = rows.filter("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     # Ids of classes, fixed by being written.
     classes = staged(grouped.select(F.monotonically_increasing_id().alias("class"), F.size("vector").alias("dims"), "vector", "least", "n"), "classes")
-    pairs = candidate_pairs(classes, cosine)
-    vector = lambda side: classes.select(F.col("class").alias(side), F.col("dims").alias(f"dims_{side}"), F.col("vector").alias(f"vector_{side}"))
-    both = pairs.join(vector("a"), "a").join(vector("b"), "b").select("a", "b", F.col("dims_a"), "vector_a", "vector_b")
-    links = staged(both.mapInArrow(_verify(cosine), "a long, b long"), "links")
-    sizes = classes.select("class", "n")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ends.join(sizes.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("linked"))
-    groups = components(links)
+    found = links(classes, cosine, task_rows=task_rows)
+    degree = found.filter("other is null").groupBy("class").agg(F.sum("links").alias("linked"))
+    groups = components(found.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
     named = classes.select("class", "least", "n", "vector").join(degree, "class", "left").join(groups.withColumnRenamed("node", "class"), "class", "left")
     named = named.select("class", "least", "vector", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
