@@ -37,9 +37,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: A token that may be an identifier: it has a digit or an at sign and at least six characters.
-CANDIDATE = re.compile(r"(?<![^\s,;:()\[\]<>\"'|=])(?=[^\s,;:()\[\]<>\"'|=]{0,80}[0-9@])[^\s,;:()\[\]<>\"'|=]{6,80}(?![^\s,;:()\[\]<>\"'|=])")
+CANDIDATE = re.compile(r"(?<![^\s,;:()\[\]<>\"'|=])(?=[^\s,;:()\[\]<>\"'|=0-9@]*[0-9@])[^\s,;:()\[\]<>\"'|=]{6,}(?![^\s,;:()\[\]<>\"'|=])")
 WORD = re.compile(r"[^\W\d_]+")
-#: Characters beside a match in which its context words are looked for.
+#: Characters beside a match in which its context words are looked for: a word further off isn't beside it.
 REACH = 60
 
 ROUNDS = 4
@@ -102,11 +102,6 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def shape(value: str) -> str:
-    """Runs of digits and letters as one character each: what kind of thing an instance looks like."""
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", value))
-
-
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Tokens that may be identifiers and don't touch a base span."""
     out, taken = [], 0
