@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DUPLICATE, INDEX_SPLITS, UNIQUE, ConfigError, MinHashConfig
+from ..config import DUPLICATE, INDEX_SPLITS, UNIQUE, ConfigError, InvalidFormat, MinHashConfig
 from ..functions.signature import band_values, split_of
+from ..plans.staging import written
 from ..sources.manifest import manifest
 
 
@@ -45,13 +46,45 @@ def number(docs: DataFrame, order: list[str] | None = None) -> tuple[DataFrame,
 def compute_bands(docs: DataFrame, config: MinHashConfig = MinHashConfig(), *, text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """``docs`` with ``bands``, in place of the text.
 
-    Texts are dealt out anew before they are hashed, for hashing costs far more than moving them and a file may be one
-    partition. Null texts fail: every document must have one.
+    With ``partitions`` texts are dealt out anew first: hashing costs far more than moving them where a scan has few
+    partitions. Null texts fail: every document must have one.
     """
-    spark = docs.sparkSession
     text = F.when(F.col(text_col).isNull(), F.raise_error(F.lit(f"MissingField: {text_col}")).cast("string")).otherwise(F.col(text_col))
-    dealt = docs.repartition(partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return dealt.withColumn("bands", band_values(text, config)).drop(text_col)
+    rows = docs.repartition(partitions) if partitions else docs
+    return rows.withColumn("bands", band_values(text, config)).drop(text_col)
+
+
+#: Columns that every row of a stored signature table has beside its document's place.
+PARAMETERS = ["ngram_size", "num_buckets", "band_size"]
+
+
+def write_bands(docs: DataFrame, path: str, config: MinHashConfig = MinHashConfig(), *, text_col: str = "text") -> int:
+    """Band values of documents (file_path, item_number, text), and the parameters they were made with, as a table; how
+    many documents there are."""
+    rows = compute_bands(docs.select("file_path", "item_number", text_col), config, text_col=text_col)
+    rows.select("*", *(F.lit(getattr(config, c)).alias(c) for c in PARAMETERS)).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path).count()
+
+
+def read_bands(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, MinHashConfig]:
+    """Stored signatures of one or more tables, and their one configuration.
+
+    ConfigError where there is no table or the parameters differ, InvalidFormat where a table isn't laid out as
+    write_bands() does or a row has another number of bands than its parameters say.
+    """
+    if not paths:
+        raise ConfigError("no signature tables")
+    rows = None
+    for p in paths:
+        part = spark.read.parquet(p)
+        if missing := {"file_path", "item_number", "bands", *PARAMETERS} - set(part.columns):
+            raise InvalidFormat(f"{p} has no columns {sorted(missing)}")
+        rows = part if rows is None else rows.unionByName(part)
+    found = rows.groupBy(*PARAMETERS).agg(F.bool_and(F.size("bands") == F.col("num_buckets")).alias("whole")).collect()
+    config = check_same_config([MinHashConfig(*r[:3]) for r in found]) if found else MinHashConfig()
+    if not all(r.whole for r in found):
+        raise InvalidFormat("a row has another number of bands than its parameters say")
+    return rows.drop(*PARAMETERS), config
 
 
 def explode_bands(banded: DataFrame, *keep: str) -> DataFrame:
@@ -95,18 +128,34 @@ def write_index(index: DataFrame, path: str) -> None:
     index.repartition("split").write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+INDEX = "group int, item_number int, bucket_value long, bucket_idx int, global_idx long, split int"
+
+
+def read_index(spark: SparkSession, path: str, *, start: int = 0, end: int = INDEX_SPLITS - 1) -> DataFrame:
+    """A written index, or its splits from ``start`` to ``end``: no other folder is read. Splits without a folder have no
+    entry."""
+    return spark.read.schema(INDEX).parquet(path).filter(F.col("split").between(start, end))
+
+
 def split_histogram(index: DataFrame) -> DataFrame:
     return index.groupBy("split").agg(F.count("*").alias("entries"))
 
 
 def dedup(docs: DataFrame, config: MinHashConfig = MinHashConfig(), *, order: list[str] | None = None, reverse: bool = False, text_col: str = "text") -> DedupResult:
     """Flags of documents (file_path, item_number, text). The order of sources, then of items, decides what is older."""
+    rows = docs.select("file_path", "item_number", text_col)
+    return dedup_bands(compute_bands(rows, config, text_col=text_col), order=order, reverse=reverse)
+
+
+def dedup_bands(banded: DataFrame, *, order: list[str] | None = None, reverse: bool = False) -> DedupResult:
+    """dedup() from band values (file_path, item_number, bands) on, stored ones for example. They are numbered and written
+    once, and so are the flags."""
     if order is not None and not order:
         raise ConfigError("no sources")
-    numbered, sources = number(docs, order)
-    banded = compute_bands(numbered.select("global_idx", "source_idx", "item_number", text_col), config, text_col=text_col)
-    flags = flags_of(banded, reverse=reverse)
-    return DedupResult(flags, sources, index_entries(banded, flags))
+    banded = written(banded, "bands")
+    numbered, sources = number(banded, order)
+    flags = written(flags_of(numbered, reverse=reverse), "flags")
+    return DedupResult(flags, sources, index_entries(numbered, flags))
 
 
 def check_same_config(configs: list[MinHashConfig]) -> MinHashConfig:
@@ -118,4 +167,4 @@ def check_same_config(configs: list[MinHashConfig]) -> MinHashConfig:
     return configs[0]
 
 
-__all__ = ["INDEX_SPLITS", "DedupResult", "check_same_config", "compute_bands", "dedup", "duplicates", "explode_bands", "flags_of", "index_entries", "number", "split_histogram", "stats", "write_index"]
+__all__ = ["INDEX_SPLITS", "DedupResult", "check_same_config", "compute_bands", "dedup", "dedup_bands", "duplicates", "explode_bands", "flags_of", "index_entries", "number", "read_bands", "read_index", "split_histogram", "stats", "write_bands", "write_index"]

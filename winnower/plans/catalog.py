@@ -6,6 +6,7 @@ default parameters, which SQL can't follow, and is held against known counts in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +14,16 @@ from pyspark.sql import functions as F
 
 from ..config import MinHashConfig
 from ..functions.ngrams import char_ngrams, ngram_set
-from ..functions.signature import band_values, bands_of_signature, signature
+from ..functions.signature import band_values, bands_of_signature, signature, signature_slice
+from ..operators import similarity
 from ..operators.apply import apply_each, apply_whole
-from ..operators.dedup import DedupResult, compute_bands, dedup, explode_bands, flags_of, index_entries, split_histogram
-from ..operators.merge import MergeResult, MergeSource, merge
-from ..operators.similarity import similar_pairs
-from ..sources.jsonl import from_table, read_jsonl
-from ..sources.manifest import manifest
+from ..operators.dedup import DedupResult, dedup_bands, explode_bands, flags_of, index_entries, read_bands, read_index, split_histogram, write_bands, write_index
+from ..operators.merge import MergeResult, MergeSource, either, merge
+from ..operators.similarity import similar_pairs, write_pairs
+from ..sources.jsonl import from_table, read_jsonl, write_lines
+from ..sources.manifest import manifest, read_src, write_src
 from . import oracle
-from .staging import shared_folder, written
+from .staging import dealt, shared_folder, written
 
 CHECKED = MinHashConfig(5, 4, 2)
 TARGET = "src1"
@@ -37,21 +39,28 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and text, dealt to all cores: a file may be one partition, and hashing is what takes time."""
-    return _documents(spark, sf_dir).select("doc_id", "text").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_table(_documents(spark, sf_dir), order_col="doc_id", source_col="source", keep=("doc_id",))
+    """Numbered band values of the documents of each source. Texts are hashed where they are read; what is numbered and written is
+    narrow."""
+    rows = dealt(_documents(spark, sf_dir).select("source", "doc_id", "text")).select("source", "doc_id", band_values("text", CHECKED).alias("bands"))
+    return from_table(rows, order_col="doc_id", source_col="source", text_col=None, keep=("doc_id", "bands"))
 
 
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams, distinct = F.col("grams"), F.size(F.array_distinct("grams"))
-    rows = _documents(spark, sf_dir).select("doc_id", char_ngrams("text", 5).alias("grams"))
+    rows = _dealt(spark, sf_dir).select("doc_id", char_ngrams("text", 5).alias("grams"))
     return rows.select("doc_id", F.size(grams).cast("long").alias("n_grams"), distinct.cast("long").alias("n_distinct"), F.get(grams, F.lit(0)).alias("first_gram"), F.element_at(F.when(F.size(grams) > 0, grams), -1).alias("last_gram"))
 
 
 def gram_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select(F.explode(ngram_set("text", 5)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n_docs"))
+    return _dealt(spark, sf_dir).select(F.explode(ngram_set("text", 5)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n_docs"))
 
 
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +91,7 @@ def dedup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _group(spark: SparkSession, sf_dir: str) -> DedupResult:
-    return dedup(_by_source(spark, sf_dir), CHECKED)
+    return dedup_bands(_by_source(spark, sf_dir))
 
 
 def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,32 +112,94 @@ def source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unique_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _by_source(spark, sf_dir)
-    found = dedup(docs, CHECKED)
-    lines = docs.join(found.sources.select("file_path", "offset"), "file_path").select((F.col("offset") + F.col("item_number")).alias("item_number"), "doc_id", "text")
-    return apply_whole(lines, found.flags).select("global_idx", "doc_id", "text")
+    found = dedup_bands(docs)
+    lines = docs.join(found.sources.select("file_path", "offset"), "file_path").select((F.col("offset") + F.col("item_number")).alias("item_number"), "doc_id")
+    # Flags are applied to narrow rows; texts are joined to what stays.
+    return apply_whole(lines, found.flags).join(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id").select("global_idx", "doc_id", "text")
 
 
 def unique_of_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _by_source(spark, sf_dir)
-    found = dedup(docs, CHECKED)
-    return apply_each(docs.filter(F.col("file_path") == TARGET), found.flags, found.sources, TARGET).select("global_idx", "doc_id", "text")
+    found = dedup_bands(docs)
+    own = docs.filter(F.col("file_path") == TARGET).drop("bands")
+    texts = _documents(spark, sf_dir).filter(F.col("source") == TARGET).select("doc_id", "text")
+    return apply_each(own, found.flags, found.sources, TARGET).join(texts, "doc_id").select("global_idx", "doc_id", "text")
+
+
+def unique_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unique documents' lines, written in order and read back."""
+    path = _new_folder(spark, "lines")
+    write_lines(unique_documents(spark, sf_dir).select("global_idx", F.to_json(F.struct("doc_id", "text")).alias("value")), path)
+    return spark.read.option("lineSep", "\n").text(path).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), F.get_json_object("value", "$.text").alias("text"))
+
+
+def dedup_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags from two stored signature tables, whose parameters are held against each other."""
+    docs = _documents(spark, sf_dir).withColumn("later", F.col("source") >= TARGET)
+    paths = []
+    for later in (False, True):
+        rows = dealt(docs.filter(F.col("later") == later).select("source", "doc_id", "text"))
+        paths.append(_new_folder(spark, "signatures"))
+        write_bands(rows.select(F.col("source").alias("file_path"), F.col("doc_id").alias("item_number"), "text"), paths[-1], CHECKED)
+    banded, _ = read_bands(spark, paths)
+    placed = from_table(banded, order_col="item_number", source_col="file_path", text_col=None, keep=("bands",))
+    return dedup_bands(placed).flags
+
+
+def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index, written by split, and splits 16 to 199 of it read back."""
+    path = _new_folder(spark, "index")
+    write_index(_group(spark, sf_dir).index, path)
+    return read_index(spark, path, start=16, end=199).select("group", "item_number", "bucket_value", "split")
+
+
+def src_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _new_folder(spark, "src")
+    write_src(source_manifest(spark, sf_dir), path)
+    return read_src(spark, path)
+
+
+def signature_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashes of band 1."""
+    rows = _dealt(spark, sf_dir).select("doc_id", signature_slice(signature("text", CHECKED), 1, CHECKED).alias("band"))
+    return rows.select("doc_id", F.col("band")[0].alias("first"), F.col("band")[1].alias("second"))
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = similar_pairs(_documents(spark, sf_dir).select(F.col("doc_id").alias("idx"), "text"), n=5, threshold=0.6)
+    pairs = similar_pairs(_dealt(spark, sf_dir).withColumnRenamed("doc_id", "idx"), n=5, threshold=0.6)
     return pairs.select(F.col("i").alias("doc_a"), F.col("j").alias("doc_b"), "similarity")
 
 
-def _groups(spark: SparkSession, sf_dir: str, reverse: bool = False) -> MergeResult:
+def _pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dealt(spark, sf_dir).select(F.col("doc_id").alias("item_number"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    return similarity.pairwise_similarity(rows, n=5, threshold=0.8)
+
+
+def pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairwise(spark, sf_dir)
+
+
+def pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs written as text lines and read back."""
+    path = _new_folder(spark, "pairs")
+    write_pairs(_pairwise(spark, sf_dir), path)
+    return spark.read.option("lineSep", "\n").text(path)
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> list[MergeSource]:
     """Documents and conversations as two groups of one source each."""
     talk = _table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("doc_id"), "text")
     sources = []
     for rows in (_documents(spark, sf_dir), talk):
-        docs = from_table(rows, order_col="doc_id").withColumn("source_idx", F.lit(0)).withColumn("global_idx", F.col("item_number"))
-        banded = written(compute_bands(docs.select("global_idx", "source_idx", "item_number", "text"), CHECKED), "bands")
+        hashed = dealt(rows.select("doc_id", "text")).select("doc_id", band_values("text", CHECKED).alias("bands"))
+        banded = from_table(hashed, order_col="doc_id", text_col=None, keep=("bands",)).select(F.col("item_number").alias("global_idx"), F.lit(0).alias("source_idx"), "item_number", "bands")
         flags = written(flags_of(banded), "flags")
         sources.append(MergeSource(index_entries(banded, flags), flags))
-    return merge(sources, reverse=reverse)
+    return sources
+
+
+def _groups(spark: SparkSession, sf_dir: str, **how: bool) -> MergeResult:
+    return merge(_sources(spark, sf_dir), **how)
 
 
 def merge_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +214,22 @@ def merge_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir).cross
 
 
+def merge_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets keyed by band and value, slots by place in the group."""
+    return _groups(spark, sf_dir, compat=False).flags
+
+
+def merge_split_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits 64 to 191 alone."""
+    return merge(_sources(spark, sf_dir), start=64, end=191).flags
+
+
+def merge_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All splits in two ranges, whose flags are put together."""
+    sources = _sources(spark, sf_dir)
+    return either(merge(sources, end=127).flags, merge(sources, start=128).flags)
+
+
 def short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without an n-gram: all but the first are duplicates of it."""
     rows = _documents(spark, sf_dir).filter(F.length("text") < 5).select("doc_id")
@@ -152,9 +239,7 @@ def short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON lines and read back by the strict reader."""
-    import uuid
-
-    path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = _new_folder(spark, "jsonl")
     _documents(spark, sf_dir).select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), "text")).alias("value")).write.text(path)
     rows = read_jsonl(spark, path, id_field="id")
     return rows.select(F.col("id").cast("long").alias("doc_id"), "text", F.length("text").cast("long").alias("n_chars"))
@@ -165,7 +250,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         ngram_counts, gram_frequencies, minhash_signature, band_digests, dedup_forward, dedup_reverse, dedup_default, dedup_stats, index_rows,
         index_split_histogram, source_manifest, unique_documents, unique_of_source, jaccard_pairs, merge_forward, merge_reverse, merge_cross,
-        short_documents, jsonl_roundtrip,
+        short_documents, jsonl_roundtrip, dedup_stored, index_roundtrip, src_roundtrip, signature_band, unique_lines, pairwise_similarity, pair_lines,
+        merge_by_band, merge_split_range, merge_composed,
     )
 }
 
@@ -193,7 +279,7 @@ keyed_docs AS (SELECT grp * 1000000000000 + item AS k, text FROM both_groups),
 {oracle.bands(5, CHECKED.num_buckets, "keyed_docs", "k")},
 gband AS (SELECT k // 1000000000000 AS grp, k % 1000000000000 AS item, bucket_idx, bucket_value FROM band),
 dup AS (SELECT DISTINCT grp, item FROM (SELECT grp, item, min(item) OVER (PARTITION BY grp, bucket_idx, bucket_value) AS keeper FROM gband) WHERE item <> keeper),
-entries AS (SELECT * FROM gband WHERE (grp, item) NOT IN (SELECT (grp, item) FROM dup)),
+entries AS (SELECT * FROM gband WHERE (grp, item) NOT IN (SELECT (grp, item) FROM dup) AND bucket_value & 255 BETWEEN 0 AND 255),
 ranked AS (SELECT grp, item, min(grp) OVER w <> max(grp) OVER w AS crosses, row_number() OVER (PARTITION BY bucket_value ORDER BY grp, item) AS up,
   row_number() OVER (PARTITION BY bucket_value ORDER BY grp DESC, item DESC) AS down FROM entries WINDOW w AS (PARTITION BY bucket_value))"""
 
@@ -203,6 +289,12 @@ def _merged(rank: str) -> str:
 SELECT CAST(grp AS INTEGER) AS group_idx, item AS global_idx, CASE WHEN (grp, item) IN (SELECT (grp, item) FROM dup) OR (grp, item) IN (SELECT (grp, item) FROM ranked WHERE crosses AND {rank} > 1) THEN 'D' ELSE ' ' END AS flag FROM both_groups"""
 
 
+_MANIFEST = """SELECT CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS source_idx, n AS item_count, source AS file_path,
+  CAST(coalesce(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)"""
+_JACCARD = f"""WITH g AS (SELECT DISTINCT doc_id, gram FROM ({oracle.gram_rows(5)})), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+s AS (SELECT doc_a, doc_b, both_have / (x.n + y.n - both_have) AS similarity FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
+  UNION ALL SELECT a.doc_id, b.doc_id, 1.0 FROM documents a JOIN documents b ON a.doc_id < b.doc_id AND length(a.text) < 5 AND length(b.text) < 5)"""
 _GRAMS = "list_transform(range(1, length(text) - 3), lambda i: substring(text, i, 5))"
 
 ORACLE_SQL: dict[str, str] = {
@@ -215,15 +307,20 @@ ORACLE_SQL: dict[str, str] = {
     "dedup_stats": f"{_GROUP}\nSELECT t AS total_documents, d AS duplicate_count, CASE WHEN t > 0 THEN CAST(d AS DOUBLE) / t * 100 END AS duplicate_rate FROM (SELECT count(*) AS t FROM documents), (SELECT count(*) AS d FROM dup)",
     "index_rows": f'{_GROUP}\nSELECT "group", item_number, bucket_value, split FROM idx',
     "index_split_histogram": f"{_GROUP}\nSELECT split, count(*) AS entries FROM idx GROUP BY split",
-    "source_manifest": """SELECT CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS source_idx, n AS item_count, source AS file_path,
-  CAST(coalesce(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)""",
+    "source_manifest": _MANIFEST,
+    "src_roundtrip": _MANIFEST,
     "unique_documents": f"{_GROUP}\nSELECT g AS global_idx, doc_id, text FROM placed WHERE g NOT IN (SELECT g FROM dup)",
     "unique_of_source": f"{_GROUP}\nSELECT g AS global_idx, doc_id, text FROM placed WHERE source = '{TARGET}' AND g NOT IN (SELECT g FROM dup)",
-    "jaccard_pairs": f"""WITH g AS (SELECT DISTINCT doc_id, gram FROM ({oracle.gram_rows(5)})), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
-s AS (SELECT doc_a, doc_b, both_have / (x.n + y.n - both_have) AS similarity FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b)
-SELECT * FROM s WHERE similarity >= 0.6 UNION ALL
-SELECT a.doc_id, b.doc_id, 1.0 FROM documents a JOIN documents b ON a.doc_id < b.doc_id AND length(a.text) < 5 AND length(b.text) < 5""",
+    "jaccard_pairs": f"{_JACCARD}\nSELECT * FROM s WHERE similarity >= 0.6",
+    "pairwise_similarity": f"{_JACCARD}\nSELECT similarity, 'd' || doc_a AS id_a, 'd' || doc_b AS id_b FROM s WHERE similarity >= 0.8",
+    "pair_lines": f"{_JACCARD}\nSELECT printf('%.6f', similarity) || chr(9) || 'd' || doc_a || chr(9) || 'd' || doc_b AS value FROM s WHERE similarity >= 0.8",
+    "dedup_stored": f"{_GROUP}\nSELECT g AS global_idx, CASE WHEN g IN (SELECT g FROM dup) THEN 'D' ELSE ' ' END AS flag FROM placed",
+    "index_roundtrip": f'{_GROUP}\nSELECT "group", item_number, bucket_value, split FROM idx WHERE split BETWEEN 16 AND 199',
+    "signature_band": f"WITH {oracle.signatures(5, CHECKED.total_hashes)}\nSELECT a.doc_id, {oracle.signed('a.hash')} AS first, {oracle.signed('b.hash')} AS second FROM signature a JOIN signature b ON a.doc_id = b.doc_id AND a.seed = {CHECKED.band_size} AND b.seed = {CHECKED.band_size + 1}",
+    "unique_lines": f"{_GROUP}\nSELECT doc_id, text FROM placed WHERE g NOT IN (SELECT g FROM dup)",
+    "merge_by_band": _merged("up").replace("PARTITION BY bucket_value", "PARTITION BY bucket_idx, bucket_value"),
+    "merge_split_range": _merged("up").replace("BETWEEN 0 AND 255", "BETWEEN 64 AND 191"),
+    "merge_composed": _merged("up"),
     "merge_forward": _merged("up"),
     "merge_reverse": _merged("down"),
     "merge_cross": f"{_BOTH}\nSELECT count(*) AS cross_duplicates FROM ranked WHERE crosses AND up > 1",
