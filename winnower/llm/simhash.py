@@ -329,11 +329,13 @@ SKETCH_COLUMNS = [f"sketch{i}" for i in range(SKETCH)]
 
 
 def _near(rows: np.ndarray, i, j) -> np.ndarray:
-    """Whether the rows (component, node, size, sketch) at i and j aren't connected yet and may be similar, by size and sketch."""
+    """Whether the rows (component, node, size, rank, sketch) at i and j aren't connected yet and may be similar: by size, by
+    what lies behind the shingle where they meet, in both sets (enough, if it is the first that they share), and by sketch."""
     a, b = rows[i], rows[j]
     size, other = a[..., 2], b[..., 2]
     may = (a[..., 0] != b[..., 0]) & (np.minimum(size, other) >= SIMILARITY * np.maximum(size, other) - EPSILON)
-    apart = _popcount((a[..., 3:] ^ b[..., 3:]).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+    may &= np.minimum(size - a[..., 3], other - b[..., 3]) >= (size + other) * (SIMILARITY / (1 + SIMILARITY)) - EPSILON
+    apart = _popcount((a[..., 4:] ^ b[..., 4:]).view(np.uint64)).sum(axis=-1, dtype=np.int64)
     return may & (apart <= (size + other) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + EPSILON)
 
 
@@ -355,7 +357,7 @@ def _pairs(rows: np.ndarray, forest: bool) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def _candidates(forest: bool):
-    """Rows (shingle, i, j, component, node, size, sketch), each group's together, to pairs of nodes that may be similar."""
+    """Rows (shingle, i, j, component, node, size, rank, sketch), each group's together, to pairs of nodes that may be similar."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(key: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -418,8 +420,8 @@ def _dealt(prefixes: DataFrame, nodes: DataFrame, least: int, block: int) -> Dat
     met = prefixes.join(crowds.filter((F.col("n") >= least) & (F.col("x") != F.col("y"))).select("shingle", "n"), "shingle")
     parts = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("content"), parts).cast("int")
-    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "content")
-    rows = dealt.join(nodes, "content").select("shingle", "i", "j", "component", F.col("content").alias("node"), "size", *SKETCH_COLUMNS)
+    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "content", "rank")
+    rows = dealt.join(nodes, "content").select("shingle", "i", "j", "component", F.col("content").alias("node"), "size", "rank", *SKETCH_COLUMNS)
     return rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "node")
 
 
@@ -458,7 +460,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = texts.mapInArrow(_prepared(*common_shingles(texts.select("text"))), f"{columns}, bits binary, prefix array<long>")
     nodes = staged(rows.drop("doc_id").dropDuplicates(["content"]), "contents")
     prints = staged(with_column(texts, "text", "content", LongType(), _contents).drop("text"), "similar")
-    every = nodes.select("content", F.explode("prefix").alias("shingle"))
+    every = nodes.select("content", F.posexplode("prefix").alias("rank", "shingle"))
     prefixes = staged(every.join(every.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle"), "shingle"), "prefixes")
     alone = nodes.select("content", F.col("content").alias("component"), "size", *SKETCH_COLUMNS)
     first = _dealt(prefixes, alone, CROWD + 1, block).mapInArrow(_candidates(True), "a long, b long")
