@@ -442,3 +442,44 @@ def test_near_duplicates_of_one_template(spark):
             at += 1
         at += 1
     assert true > 300 and kept == true
+
+
+def test_near_duplicate_stage_finds_every_link_at_sf01(spark):
+    """All links of five-word Jaccard similarity 0.8 or more between different texts of a larger table, by counting what texts
+    share, shingle by shingle."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
+    sets, node = {}, {}
+    for r in rows:
+        key = b" ".join((r.text or "").encode().lower().split())
+        node[r.doc_id] = key
+        if key not in sets:
+            sets[key] = simhash.shingles((r.text or "").encode())
+    names, found = list(sets), list(sets.values())
+    size = np.array([len(x) for x in found])
+    shingle, owner = np.concatenate(found), np.repeat(np.arange(len(found)), size)
+    order = np.lexsort((owner, shingle))
+    shingle, owner = shingle[order], owner[order]
+    cuts = np.append(np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])), len(shingle))
+    pairs = []
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        if high - low > 1:
+            i, j = np.triu_indices(high - low, 1)
+            pairs.append(owner[low:high][i] * len(names) + owner[low:high][j])
+    key, shared = np.unique(np.concatenate(pairs), return_counts=True)
+    a, b = key // len(names), key % len(names)
+    linked = shared >= 0.8 * (size[a] + size[b] - shared)
+    parent = list(range(len(names)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in zip(a[linked].tolist(), b[linked].tolist(), strict=True):
+        x, y = top(x), top(y)
+        parent[max(x, y)] = min(x, y)
+    wanted = {n: top(i) for i, n in enumerate(names)}
+    groups = {}
+    for r in simhash.similar_groups(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect():
+        assert groups.setdefault(wanted[node[r.doc_id]], r.component) == r.component
+    assert len(set(groups.values())) == len(set(wanted.values())) and linked.sum() > 20
