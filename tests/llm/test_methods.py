@@ -309,7 +309,7 @@ def test_rates_come_as_close_as_rates_can(spark):
         start = a.sum(axis=0)
         wanted = targets * (tokens.sum() if least == 0 else max(start / targets))
         best, steepest = np.ones(400), np.linalg.eigvalsh(a.T @ a).max()
-        for _ in range(40_000):
+        for _ in range(10_000):
             best = np.maximum(least, best - a @ (best @ a - wanted) / steepest)
         miss, least_miss, first = (np.linalg.norm(x @ a - wanted) for x in (r, best, np.ones(400)))
         assert miss <= 1.03 * least_miss + mixing.TOLERANCE * wanted.sum() and least_miss < 0.9 * first

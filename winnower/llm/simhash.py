@@ -17,16 +17,16 @@ document wherever their fingerprints link. Columns beside id and text aren't rea
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType
 
-from .common import staged, table
+from .common import staged, table, with_column
 from .graph import components
 
 SHINGLE_WORDS = 3
@@ -68,21 +68,6 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def with_column(df: DataFrame, text: str, name: str, kind: DataType, make: Callable[[list[bytes]], pa.Array]) -> DataFrame:
-    """``df`` and a last column that is made of its text column's bytes, null texts as empty ones. All Python of a stage runs in
-    one kind of worker, so that an executor holds one for each core."""
-    at = df.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = make([x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*(f"c{i}" for i in range(batch.num_columns)), "made"])
-
-    places = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)])
-    found = df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, StructType([*places, StructField("made", kind)]))
-    return found.toDF(*df.columns, name)
-
-
 def _fingerprints(texts: list[bytes]) -> pa.Array:
     """The fingerprints' bits as signed longs."""
     return pa.array(np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64))

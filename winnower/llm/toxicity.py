@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -31,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import staged, table, text_or_empty
+from .common import staged, table, text_or_empty, with_column
 
 THRESHOLD = 0.3
 FIT_ROWS = 50_000
@@ -371,15 +373,9 @@ def fit_logistic(x: np.ndarray, t: np.ndarray, rest: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a double column ``name`` (which replaces one of that name)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in texts:
-            yield pa.array(held.value.scores(part.to_pylist()), pa.float64())
-
-    from pyspark.sql.types import DoubleType
-
-    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.withColumn(name, F.arrow_udf(run, DoubleType())(text_or_empty(text)))
+    made = f"score_{uuid.uuid4().hex}"  # no column of the input has that name
+    found = with_column(docs, text, made, DoubleType(), lambda texts: pa.array(held.value.scores([t.decode() for t in texts]), pa.float64()))
+    return found.withColumn(name, F.col(made)).drop(made)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
