@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, sf, name):
     df = catalog.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     sql = catalog.ORACLE_SQL[name]
     assert sorted(x[0] for x in con.execute(f"SELECT * FROM ({sql}) LIMIT 0").description) == columns

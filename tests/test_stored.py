@@ -156,7 +156,7 @@ def test_slots_by_place_in_the_group(spark):
 
 def test_lines_are_written_in_order(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"line {i}") for i in range(500)], "global_idx long, value string").repartition(7)
-    write_lines(rows, str(tmp_path / "out"))
+    assert write_lines(rows, str(tmp_path / "out")) == 500
     parts = sorted((tmp_path / "out").glob("part-*"))
     assert "".join(p.read_text() for p in parts) == "".join(f"line {i}\n" for i in range(500))
 

@@ -179,6 +179,12 @@ def pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairwise(spark, sf_dir)
 
 
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of benchmark items: a threshold of 0."""
+    rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("idx"), "text")
+    return similar_pairs(rows, n=5, threshold=0.0).select(F.col("i").alias("item_a"), F.col("j").alias("item_b"), "similarity")
+
+
 def pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs written as text lines and read back."""
     path = _new_folder(spark, "pairs")
@@ -250,7 +256,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         ngram_counts, gram_frequencies, minhash_signature, band_digests, dedup_forward, dedup_reverse, dedup_default, dedup_stats, index_rows,
         index_split_histogram, source_manifest, unique_documents, unique_of_source, jaccard_pairs, merge_forward, merge_reverse, merge_cross,
-        short_documents, jsonl_roundtrip, dedup_stored, index_roundtrip, src_roundtrip, signature_band, unique_lines, pairwise_similarity, pair_lines,
+        short_documents, jsonl_roundtrip, dedup_stored, index_roundtrip, src_roundtrip, signature_band, unique_lines, pairwise_similarity, pair_lines, all_pairs,
         merge_by_band, merge_split_range, merge_composed,
     )
 }
@@ -313,6 +319,10 @@ ORACLE_SQL: dict[str, str] = {
     "unique_of_source": f"{_GROUP}\nSELECT g AS global_idx, doc_id, text FROM placed WHERE source = '{TARGET}' AND g NOT IN (SELECT g FROM dup)",
     "jaccard_pairs": f"{_JACCARD}\nSELECT * FROM s WHERE similarity >= 0.6",
     "pairwise_similarity": f"{_JACCARD}\nSELECT similarity, 'd' || doc_a AS id_a, 'd' || doc_b AS id_b FROM s WHERE similarity >= 0.8",
+    "all_pairs": f"""WITH g AS (SELECT DISTINCT item_id, gram FROM ({oracle.gram_rows(5, "benchmark", "item_id")})), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY item_id),
+c AS (SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.item_id < b.item_id GROUP BY 1, 2)
+SELECT a.item_id AS item_a, b.item_id AS item_b, CASE WHEN x.n IS NULL AND y.n IS NULL THEN 1.0 ELSE coalesce(both_have, 0) / (coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(both_have, 0)) END AS similarity
+FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id LEFT JOIN c ON item_a = a.item_id AND item_b = b.item_id LEFT JOIN n x ON x.item_id = a.item_id LEFT JOIN n y ON y.item_id = b.item_id""",
     "pair_lines": f"{_JACCARD}\nSELECT printf('%.6f', similarity) || chr(9) || 'd' || doc_a || chr(9) || 'd' || doc_b AS value FROM s WHERE similarity >= 0.8",
     "dedup_stored": f"{_GROUP}\nSELECT g AS global_idx, CASE WHEN g IN (SELECT g FROM dup) THEN 'D' ELSE ' ' END AS flag FROM placed",
     "index_roundtrip": f'{_GROUP}\nSELECT "group", item_number, bucket_value, split FROM idx WHERE split BETWEEN 16 AND 199',

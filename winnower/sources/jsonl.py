@@ -6,7 +6,7 @@ numbered within each file block as it is read, and blocks are counted and summed
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import IoError, JsonError, MissingField
@@ -104,6 +104,9 @@ def from_table(df: DataFrame, *, order_col: str, text_col: str | None = "text",
     return dealt.join(parts, same).select("file_path", (F.col("before") + F.col("_at") - F.col("first")).alias("item_number"), *(["text"] if text_col else []), *keep)
 
 
-def write_lines(df: DataFrame, path: str, order_col: str = "global_idx") -> None:
-    """The ``value`` column as text lines, in order over the part files."""
-    df.repartitionByRange(order_col).sortWithinPartitions(order_col).select("value").write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, path: str, order_col: str = "global_idx") -> int:
+    """The ``value`` column as text lines, in order over the part files; how many there are."""
+    seen = Observation("lines")
+    rows = df.repartitionByRange(order_col).sortWithinPartitions(order_col).observe(seen, F.count("*").alias("n"))
+    rows.select("value").write.mode("overwrite").text(path)
+    return seen.get["n"]
