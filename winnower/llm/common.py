@@ -42,6 +42,23 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: A group of this part of all rows or more is hot; there are not more than so many.
+HOT = 1024
+
+
+def joined_by_digest(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of ``groups`` (a written table of one row for each value of ``key``, ``size`` the number of its rows);
+    nulls where a row has no group.
+
+    Groups of 1 / HOT of all rows or more are broadcast to their rows, HOT of them at most; other groups are joined by
+    a shuffle, in which none of them is more than that."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.filter(F.col(size) * HOT >= total)
+    often = rows.join(F.broadcast(hot), key)
+    seldom = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(size) * HOT < total), key, "left")
+    return often.unionByName(seldom)
+
+
 def with_column(df: DataFrame, text: str, name: str, kind: DataType, make: Callable[[list[bytes]], pa.Array]) -> DataFrame:
     """``df`` and a last column that is made of its text column's bytes, null texts as empty ones. All Python of a stage runs in
     one kind of worker, so that an executor holds one for each core."""

@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audit import SQL as AUDIT_SQL
+from .audit import op13_filter_audit
 from .embeddings import op8_embeddings
+from .exact import SQL as EXACT_SQL
+from .exact import op11_exact_dedup
+from .importance import SQL as IMPORTANCE_SQL
+from .importance import op12_importance_resampling
 from .media import op10_media_columns
 from .mixing import op9_mixing
 from .packing import op5_packing
@@ -29,8 +35,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_mixing": op9_mixing,
     "op10_media_columns": op10_media_columns,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_SQL,
+    "op11_exact_dedup": EXACT_SQL,
+    "op12_importance_resampling": IMPORTANCE_SQL,
+    "op13_filter_audit": AUDIT_SQL,
 }
