@@ -21,6 +21,8 @@ from .xxh3 import Rows
 MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: n-grams of texts that are hashed at once: tables of this size stay in a core's cache.
 CHUNK_GRAMS = 500_000
+#: Bytes of values of one length that are hashed together.
+HASH_BYTES = 4 << 20
 
 
 def _chunk_grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, list[Rows]]:
@@ -174,3 +176,30 @@ def signature_slice(found: Column | str, band: int, config: MinHashConfig = MinH
 def split_of(bucket_value: Column | str) -> Column:
     """The unsigned value modulo 256."""
     return F.col(bucket_value).bitwiseAND(F.lit(255)).cast("int") if isinstance(bucket_value, str) else bucket_value.bitwiseAND(F.lit(255)).cast("int")
+
+
+def xxh3_64(value: Column | str, seed: int = 0) -> Column:
+    """XXH3-64 of a string's UTF-8 or a binary's bytes as the signed long of the same bits; null stays null.
+
+    A batch's values are hashed together by their length, whatever it is."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in batches:
+            yield digests(part.cast(pa.binary()), seed)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, LongType())(value)
+
+
+def digests(values: pa.BinaryArray, seed: int) -> pa.Array:
+    _, places, flat = values.buffers()
+    offsets, data = np.frombuffer(places, np.int32)[values.offset : values.offset + len(values) + 1], np.frombuffer(flat or b"", np.uint8)
+    length, out = np.diff(offsets), np.zeros(len(values), np.int64)
+    # Values of one length and of about HASH_BYTES together are rows of a matrix.
+    for size in np.unique(length).tolist():
+        at = np.flatnonzero(length == size)
+        for low in range(0, len(at), max(1, HASH_BYTES // max(1, size))):
+            some = at[low : low + max(1, HASH_BYTES // max(1, size))]
+            rows = data[offsets[some].astype(np.int64)[:, None] + np.arange(size)] if size else np.zeros((len(some), 0), np.uint8)
+            out[some] = Rows(rows).digest(seed).view(np.int64)
+    return pa.array(out, mask=np.asarray(values.is_null()))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DUPLICATE, INDEX_SPLITS, UNIQUE, ConfigError, InvalidFormat, MinHashConfig
 from ..functions.signature import band_values, split_of
-from ..plans.staging import written
+from ..staging import written
 from ..sources.manifest import manifest
 
 
@@ -88,8 +88,11 @@ def read_bands(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, MinHas
 
 
 def explode_bands(banded: DataFrame, *keep: str) -> DataFrame:
-    """A row for each band: the columns of ``keep``, bucket_idx, bucket_value."""
-    return banded.select(*keep, F.posexplode("bands").alias("bucket_idx", "bucket_value"))
+    """A row for each band: the columns of ``keep``, bucket_idx, bucket_value.
+
+    The generator is an outer one, whose rows without a band are dropped after it: of the other kind Spark infers a filter on the
+    array's size, pushes it below and evaluates what makes the array twice."""
+    return banded.select(*keep, F.posexplode_outer("bands").alias("bucket_idx", "bucket_value")).filter("bucket_idx is not null")
 
 
 def duplicates(bands: DataFrame, *, reverse: bool = False, idx: str = "global_idx") -> DataFrame:
@@ -106,14 +109,15 @@ def flags_of(banded: DataFrame, *, reverse: bool = False, idx: str = "global_idx
     """idx and flag of every document of ``banded`` (idx, bands).
 
     Documents of wholly equal bands are first collapsed to their keeper, which flags the others: what collides with
-    one of them collides with the keeper too.
+    one of them collides with the keeper too. Documents without a band collide with nothing.
     """
     keeper = (F.max if reverse else F.min)(idx)
-    same = banded.groupBy("bands").agg(keeper.alias("keeper"))
+    same = banded.filter(F.size("bands") > 0).groupBy("bands").agg(keeper.alias("keeper"))
     heads = same.select(F.col("keeper").alias(idx), "bands")
     dups = duplicates(explode_bands(heads, idx), reverse=reverse, idx=idx)
     unique = heads.select(idx).join(dups, idx, "left_anti").withColumn("unique", F.lit(True))
-    return banded.select(idx).join(unique, idx, "left").select(idx, F.when(F.col("unique"), UNIQUE).otherwise(DUPLICATE).alias("flag"))
+    every = banded.select(idx, (F.size("bands") == 0).alias("none")).join(unique, idx, "left")
+    return every.select(idx, F.when(F.col("unique") | F.col("none"), UNIQUE).otherwise(DUPLICATE).alias("flag"))
 
 
 def index_entries(banded: DataFrame, flags: DataFrame, *, idx: str = "global_idx") -> DataFrame:
@@ -147,12 +151,12 @@ def dedup(docs: DataFrame, config: MinHashConfig = MinHashConfig(), *, order: li
     return dedup_bands(compute_bands(rows, config, text_col=text_col), order=order, reverse=reverse)
 
 
-def dedup_bands(banded: DataFrame, *, order: list[str] | None = None, reverse: bool = False) -> DedupResult:
-    """dedup() from band values (file_path, item_number, bands) on, stored ones for example. They are numbered and written
-    once, and so are the flags."""
+def dedup_bands(banded: DataFrame, *, order: list[str] | None = None, reverse: bool = False, stored: bool = False) -> DedupResult:
+    """dedup() from band values (file_path, item_number, bands) on. They are numbered and written once, unless they are
+    ``stored``, that is, read from a table already; and so are the flags."""
     if order is not None and not order:
         raise ConfigError("no sources")
-    banded = written(banded, "bands")
+    banded = banded if stored else written(banded, "bands")
     numbered, sources = number(banded, order)
     flags = written(flags_of(numbered, reverse=reverse), "flags")
     return DedupResult(flags, sources, index_entries(numbered, flags))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DUPLICATE, UNIQUE, ConfigError, InvalidFormat
@@ -36,7 +36,8 @@ class MergeResult:
 
 
 def merge(sources: list[MergeSource], *, start: int = 0, end: int = 255, reverse: bool = False, compat: bool = True) -> MergeResult:
-    """Flags of all groups after marking what splits ``start`` to ``end`` share. An empty range marks nothing.
+    """Flags of all groups after marking what splits ``start`` to ``end`` share. An empty range marks nothing. A mark whose slot has no
+    flag is InvalidFormat, raised by the job that meets it; slots that aren't marked may lie anywhere.
 
     Entries of a slot are counted before the shuffle, and a bucket's keeper is aggregated and joined back.
     """
@@ -58,13 +59,61 @@ def merge(sources: list[MergeSource], *, start: int = 0, end: int = 255, reverse
     cross = runs.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("cross_duplicates"))
     again = (F.col("times") > 1) if compat else F.lit(False)
     marks = slots.join(runs.select(*key, "keeper"), key).filter((F.col("place") != F.col("keeper")) | again).select("group_idx", F.col("slot").alias("global_idx")).distinct()
-    marked = flags.join(marks.withColumn("mark", F.lit(True)), ["group_idx", "global_idx"], "left")
-    flag = F.when(F.col("mark"), DUPLICATE).otherwise(F.col("flag"))
-    return MergeResult(marked.select("group_idx", "global_idx", flag.alias("flag")), cross)
+    return MergeResult(with_marks(flags, marks), cross)
+
+
+def write_index_table(index: DataFrame, name: str, *, buckets: int = 64) -> None:
+    """The index as a table of the catalog, partitioned by split, whose files are dealt by bucket value: what is grouped and joined by
+    value later isn't moved any more."""
+    rows = index.select("group", "item_number", "bucket_value", "bucket_idx", "global_idx", "split")
+    rows.repartition(buckets, "bucket_value").write.mode("overwrite").partitionBy("split").bucketBy(buckets, "bucket_value").sortBy("bucket_value").saveAsTable(name)
+
+
+def merge_tables(spark: SparkSession, sources: list[tuple[str, DataFrame]], *, start: int = 0, end: int = 255, reverse: bool = False) -> MergeResult:
+    """merge() from tables of write_index_table() and the groups' flags, by value and item number.
+
+    Files of the splits asked for alone are read, and entries are counted, matched and marked in the buckets that they lie in; marks are
+    all that is moved. Tables of unlike numbers of buckets work too, with a shuffle.
+    """
+    if not sources:
+        raise ConfigError("no sources")
+    runs = flags = None
+    slots = []
+    for g, (name, own) in enumerate(sources):
+        entries = spark.table(name).filter(F.col("split").between(start, end)).select("bucket_value", F.col("item_number").cast("long").alias("slot"))
+        slots.append(entries.groupBy("bucket_value", "slot").agg(F.count("*").alias("times")))
+        ends = slots[-1].groupBy("bucket_value").agg((F.max if reverse else F.min)("slot").alias("slot"), F.sum("times").alias("n"))
+        ends = ends.select("bucket_value", F.struct(F.lit(g).alias("g"), "slot").alias("keeper"), "n", F.lit(1).alias("groups"))
+        mine = own.select(F.lit(g).alias("group_idx"), "global_idx", "flag")
+        flags = mine if flags is None else flags.unionByName(mine)
+        if runs is None:
+            runs = ends
+            continue
+        # Groups come in order, so the keeper is the first that a value has, or in reverse the last.
+        right = ends.select("bucket_value", F.col("keeper").alias("k"), F.col("n").alias("m"), F.col("groups").alias("h"))
+        keeper = F.coalesce("k", "keeper") if reverse else F.coalesce("keeper", "k")
+        total = lambda a, b: (F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+        runs = runs.join(right, "bucket_value", "full").select("bucket_value", keeper.alias("keeper"), total("n", "m").alias("n"), total("groups", "h").alias("groups"))
+    runs = runs.filter("groups > 1")
+    cross = runs.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("cross_duplicates"))
+    marks = None
+    for g, own in enumerate(slots):
+        other = (F.col("keeper.g") != g) | (F.col("keeper.slot") != F.col("slot")) | (F.col("times") > 1)
+        found = own.join(runs.select("bucket_value", "keeper"), "bucket_value").filter(other).select(F.lit(g).alias("group_idx"), F.col("slot").alias("global_idx"))
+        marks = found if marks is None else marks.unionByName(found)
+    return MergeResult(with_marks(flags, marks.distinct()), cross)
+
+
+def with_marks(flags: DataFrame, marks: DataFrame) -> DataFrame:
+    """``flags`` (group_idx, global_idx, flag) with duplicates at the slots of ``marks``, which are distinct."""
+    both = flags.join(marks.withColumn("mark", F.lit(True)), ["group_idx", "global_idx"], "full")
+    unknown = F.raise_error(F.concat(F.lit("InvalidFormat: item "), F.col("global_idx").cast("string"), F.lit(" is out of bounds for group "), F.col("group_idx").cast("string"))).cast("string")
+    flag = F.when(F.col("flag").isNull(), unknown).when(F.col("mark"), DUPLICATE).otherwise(F.col("flag"))
+    return both.select("group_idx", "global_idx", flag.alias("flag"))
 
 
 def check_range(sources: list[MergeSource], *, start: int = 0, end: int = 255, compat: bool = True) -> None:
-    """InvalidFormat where an index entry of the splits has no flag."""
+    """InvalidFormat where an index entry of the splits has no flag, marked or not: a check of what is to be merged."""
     slot = "item_number" if compat else "global_idx"
     for s in sources:
         top = s.index.filter(F.col("split").between(start, end)).agg(F.max(slot)).first()[0]

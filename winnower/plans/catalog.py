@@ -12,21 +12,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import MinHashConfig
+from ..config import DUPLICATE, MinHashConfig
 from ..functions.ngrams import char_ngrams, ngram_set
-from ..functions.signature import band_values, bands_of_signature, signature, signature_slice
-from ..operators import similarity
+from ..functions.signature import band_values, bands_of_signature, signature, signature_slice, xxh3_64
+from ..operators import generations, similarity
 from ..operators.apply import apply_each, apply_whole
 from ..operators.dedup import DedupResult, dedup_bands, explode_bands, flags_of, index_entries, read_bands, read_index, split_histogram, write_bands, write_index
-from ..operators.merge import MergeResult, MergeSource, either, merge
+from ..operators.merge import MergeResult, MergeSource, either, merge, merge_tables, write_index_table
 from ..operators.similarity import similar_pairs, write_pairs
+from ..operators.ranks import ranked
+from ..sources.binary import read_flag_file, read_index_files, read_signature_files, write_index_files, write_merged_flags, write_signature_files
 from ..sources.jsonl import from_table, read_jsonl, write_lines
 from ..sources.manifest import manifest, read_src, write_src
 from . import oracle
-from .staging import dealt, shared_folder, written
+from ..streaming.flags import flag_stream, stream_flags
+from ..staging import dealt, shared_folder, written
 
 CHECKED = MinHashConfig(5, 4, 2)
 TARGET = "src1"
+LATER = "src15"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +54,7 @@ def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered band values of the documents of each source. Texts are hashed where they are read; what is numbered and written is
     narrow."""
     rows = dealt(_documents(spark, sf_dir).select("source", "doc_id", "text")).select("source", "doc_id", band_values("text", CHECKED).alias("bands"))
-    return from_table(rows, order_col="doc_id", source_col="source", text_col=None, keep=("doc_id", "bands"))
+    return from_table(written(rows, "hashed"), order_col="doc_id", source_col="source", text_col=None, keep=("doc_id", "bands"))
 
 
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +69,7 @@ def gram_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _dealt(spark, sf_dir).select("doc_id", signature("text", CHECKED).alias("sig"))
-    return rows.select("doc_id", F.posexplode("sig").alias("seed", "hash"))
+    return rows.select("doc_id", F.posexplode_outer("sig").alias("seed", "hash")).filter("seed is not null")  # see explode_bands()
 
 
 def band_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +95,7 @@ def dedup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _group(spark: SparkSession, sf_dir: str) -> DedupResult:
-    return dedup_bands(_by_source(spark, sf_dir))
+    return dedup_bands(_by_source(spark, sf_dir), stored=True)
 
 
 def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +116,7 @@ def source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unique_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _by_source(spark, sf_dir)
-    found = dedup_bands(docs)
+    found = dedup_bands(docs, stored=True)
     lines = docs.join(found.sources.select("file_path", "offset"), "file_path").select((F.col("offset") + F.col("item_number")).alias("item_number"), "doc_id")
     # Flags are applied to narrow rows; texts are joined to what stays.
     return apply_whole(lines, found.flags).join(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id").select("global_idx", "doc_id", "text")
@@ -120,7 +124,7 @@ def unique_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unique_of_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _by_source(spark, sf_dir)
-    found = dedup_bands(docs)
+    found = dedup_bands(docs, stored=True)
     own = docs.filter(F.col("file_path") == TARGET).drop("bands")
     texts = _documents(spark, sf_dir).filter(F.col("source") == TARGET).select("doc_id", "text")
     return apply_each(own, found.flags, found.sources, TARGET).join(texts, "doc_id").select("global_idx", "doc_id", "text")
@@ -143,7 +147,7 @@ def dedup_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         write_bands(rows.select(F.col("source").alias("file_path"), F.col("doc_id").alias("item_number"), "text"), paths[-1], CHECKED)
     banded, _ = read_bands(spark, paths)
     placed = from_table(banded, order_col="item_number", source_col="file_path", text_col=None, keep=("bands",))
-    return dedup_bands(placed).flags
+    return dedup_bands(placed, stored=True).flags
 
 
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,13 +196,23 @@ def pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path)
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations with an id that is in their order."""
+    talk = _table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("doc_id"), "text")
+    return talk
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> list[MergeSource]:
     """Documents and conversations as two groups of one source each."""
-    talk = _table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("doc_id"), "text")
+    return _groups_of([_documents(spark, sf_dir), _turns(spark, sf_dir)])
+
+
+def _groups_of(tables: list[DataFrame]) -> list[MergeSource]:
+    """Tables (doc_id, text) as groups of one source each."""
     sources = []
-    for rows in (_documents(spark, sf_dir), talk):
+    for rows in tables:
         hashed = dealt(rows.select("doc_id", "text")).select("doc_id", band_values("text", CHECKED).alias("bands"))
-        banded = from_table(hashed, order_col="doc_id", text_col=None, keep=("bands",)).select(F.col("item_number").alias("global_idx"), F.lit(0).alias("source_idx"), "item_number", "bands")
+        banded = from_table(written(hashed, "hashed"), order_col="doc_id", text_col=None, keep=("bands",)).select(F.col("item_number").alias("global_idx"), F.lit(0).alias("source_idx"), "item_number", "bands")
         flags = written(flags_of(banded), "flags")
         sources.append(MergeSource(index_entries(banded, flags), flags))
     return sources
@@ -236,11 +250,91 @@ def merge_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return either(merge(sources, end=127).flags, merge(sources, start=128).flags)
 
 
+def merge_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits 64 to 191 of two stored indices, which are matched in the buckets they are stored in."""
+    stored = []
+    for s in _sources(spark, sf_dir):
+        stored.append((f"index_{uuid.uuid4().hex}", s.flags))
+        write_index_table(s.index, stored[-1][0], buckets=4)
+    return merge_tables(spark, stored, start=64, end=191).flags
+
+
+def dedup_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three groups, each flagged as it comes by what is stored of those before it: documents of earlier sources, of later ones,
+    conversations. The index is compacted before the third."""
+    docs, path = _documents(spark, sf_dir), _new_folder(spark, "generations")
+    generations.create(spark, path, CHECKED)
+    found = None
+    for g, own in enumerate(_groups_of([docs.filter(F.col("source") < LATER), docs.filter(F.col("source") >= LATER), _turns(spark, sf_dir)])):
+        if g == 2:
+            generations.compact(spark, path)
+        flags = generations.flag_group(spark, path, own).select(F.lit(g).alias("group_idx"), "global_idx", "flag")
+        generations.append(spark, path, own.index)
+        found = flags if found is None else found.unionByName(flags)
+    return found
+
+
+def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive in four parts by id, flagged by a streaming query that is stopped and started again between them."""
+    docs, path = _documents(spark, sf_dir).select("doc_id", "text"), _new_folder(spark, "stream")
+    top = docs.agg(F.max("doc_id")).first()[0] or 0
+    cuts = [0, top // 5, top // 2, top // 4 * 3, top + 1]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        dealt(docs.filter((F.col("doc_id") >= low) & (F.col("doc_id") < high))).write.mode("append").parquet(f"{path}/in")
+        flag_stream(spark.readStream.schema(docs.schema).parquet(f"{path}/in"), f"{path}/out", CHECKED).awaitTermination()
+    return stream_flags(spark, f"{path}/out")
+
+
+def bucket_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place in each of its buckets."""
+    banded = written(_dealt(spark, sf_dir).select("doc_id", band_values("text", CHECKED).alias("bands")), "bands")
+    return ranked(explode_bands(banded, "doc_id"), ["bucket_idx", "bucket_value"], ["doc_id"])
+
+
+def _numbered_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = written(_dealt(spark, sf_dir).select("doc_id", signature("text", CHECKED).alias("signature")), "signatures")
+    return from_table(hashed, order_col="doc_id", text_col=None, keep=("doc_id", "signature"))
+
+
+def rebanded_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures written once as matrices and read back twice: flags by four bands of two hashes and by eight bands of one."""
+    numbered, path = _numbered_signatures(spark, sf_dir), _new_folder(spark, "matrix")
+    write_signature_files(numbered, path, CHECKED)
+    found = None
+    for r, b in ((CHECKED.num_buckets, CHECKED.band_size), (CHECKED.total_hashes, 1)):
+        rows, _ = read_signature_files(spark, path)
+        banding = MinHashConfig(CHECKED.ngram_size, r, b)
+        banded = written(rows.select("item_number", bands_of_signature("signature", banding).alias("bands")), "bands")
+        flags = flags_of(banded, idx="item_number").select(F.lit(r).alias("num_buckets"), "item_number", "flag")
+        found = flags if found is None else found.unionByName(flags)
+    return found.join(numbered.select("item_number", "doc_id"), "item_number").select("num_buckets", "doc_id", "flag")
+
+
+def merged_flag_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged flags of both groups, each a file of one byte for a document, read back by ranges."""
+    base = _new_folder(spark, "groups")
+    paths = write_merged_flags(written(merge_forward(spark, sf_dir), "merged"), [f"{base}-{g}" for g in (0, 1)])
+    first, second = (read_flag_file(spark, p).withColumn("group_idx", F.lit(g)) for g, p in enumerate(paths))
+    return first.unionByName(second).select("group_idx", "global_idx", "flag")
+
+
+def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as files of fixed-width records, one for each split, read back."""
+    base = _new_folder(spark, "records")
+    write_index_files(_group(spark, sf_dir).index, f"{base}")
+    rows = read_index_files(spark, base)
+    return rows.select(F.col("group").cast("int"), F.col("item_number").cast("int"), "bucket_value", "split")
+
+
+def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XXH3-64 of whole texts under two seeds."""
+    return _dealt(spark, sf_dir).select("doc_id", xxh3_64("text").alias("hash"), xxh3_64("text", 2024).alias("seeded"))
+
+
 def short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without an n-gram: all but the first are duplicates of it."""
-    rows = _documents(spark, sf_dir).filter(F.length("text") < 5).select("doc_id")
-    first = rows.agg(F.min("doc_id").alias("first"))
-    return rows.join(F.broadcast(first)).select("doc_id", (F.col("doc_id") != F.col("first")).alias("duplicate"))
+    """Flags of the documents without an n-gram, whose signatures are equal: all but the first are duplicates of it."""
+    short = _documents(spark, sf_dir).filter(F.length("text") < CHECKED.ngram_size).select("doc_id")
+    return _flags(spark, sf_dir, CHECKED).join(short, "doc_id").select("doc_id", (F.col("flag") == DUPLICATE).alias("duplicate"))
 
 
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +351,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ngram_counts, gram_frequencies, minhash_signature, band_digests, dedup_forward, dedup_reverse, dedup_default, dedup_stats, index_rows,
         index_split_histogram, source_manifest, unique_documents, unique_of_source, jaccard_pairs, merge_forward, merge_reverse, merge_cross,
         short_documents, jsonl_roundtrip, dedup_stored, index_roundtrip, src_roundtrip, signature_band, unique_lines, pairwise_similarity, pair_lines, all_pairs,
-        merge_by_band, merge_split_range, merge_composed,
+        merge_by_band, merge_split_range, merge_composed, merge_stored, dedup_incremental,
+        dedup_stream, bucket_ranks, rebanded_flags, merged_flag_files, index_files, text_hashes,
     )
 }
 
@@ -290,6 +385,23 @@ ranked AS (SELECT grp, item, min(grp) OVER w <> max(grp) OVER w AS crosses, row_
   row_number() OVER (PARTITION BY bucket_value ORDER BY grp DESC, item DESC) AS down FROM entries WINDOW w AS (PARTITION BY bucket_value))"""
 
 
+# A band of one hash is told by the hash: the digest of its eight bytes is a one-to-one mixing.
+_REBANDED = f"""WITH {_BANDS},
+any_band AS (SELECT {CHECKED.num_buckets} AS num_buckets, doc_id, bucket_idx, bucket_value::VARCHAR AS v FROM band UNION ALL SELECT {CHECKED.total_hashes}, doc_id, seed, hash::VARCHAR FROM signature),
+dup AS (SELECT DISTINCT num_buckets, doc_id FROM (SELECT num_buckets, doc_id, min(doc_id) OVER (PARTITION BY num_buckets, bucket_idx, v) AS keeper FROM any_band) WHERE doc_id <> keeper)
+SELECT n.num_buckets, d.doc_id, CASE WHEN x.doc_id IS NULL THEN ' ' ELSE 'D' END AS flag FROM documents d, (VALUES ({CHECKED.num_buckets}), ({CHECKED.total_hashes})) n(num_buckets)
+LEFT JOIN dup x ON x.doc_id = d.doc_id AND x.num_buckets = n.num_buckets"""
+_INCREMENTAL = f"""WITH all_groups AS (
+  SELECT CASE WHEN source < '{LATER}' THEN 0 ELSE 1 END AS grp, row_number() OVER (PARTITION BY source < '{LATER}' ORDER BY doc_id) - 1 AS item, text FROM documents
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY conv_id, turn) - 1, text FROM conversations),
+keyed_docs AS (SELECT grp * 1000000000000 + item AS k, text FROM all_groups),
+{oracle.bands(5, CHECKED.num_buckets, "keyed_docs", "k")},
+gband AS (SELECT k // 1000000000000 AS grp, k % 1000000000000 AS item, bucket_idx, bucket_value FROM band),
+dup AS (SELECT DISTINCT grp, item FROM (SELECT grp, item, min(item) OVER (PARTITION BY grp, bucket_idx, bucket_value) AS keeper FROM gband) WHERE item <> keeper),
+entries AS (SELECT *, min(grp) OVER (PARTITION BY bucket_value) AS earliest FROM gband WHERE (grp, item) NOT IN (SELECT (grp, item) FROM dup))
+SELECT CAST(grp AS INTEGER) AS group_idx, item AS global_idx, CASE WHEN (grp, item) IN (SELECT (grp, item) FROM dup) OR (grp, item) IN (SELECT (grp, item) FROM entries WHERE earliest < grp) THEN 'D' ELSE ' ' END AS flag FROM all_groups"""
+
+
 def _merged(rank: str) -> str:
     return f"""{_BOTH}
 SELECT CAST(grp AS INTEGER) AS group_idx, item AS global_idx, CASE WHEN (grp, item) IN (SELECT (grp, item) FROM dup) OR (grp, item) IN (SELECT (grp, item) FROM ranked WHERE crosses AND {rank} > 1) THEN 'D' ELSE ' ' END AS flag FROM both_groups"""
@@ -331,6 +443,13 @@ FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id LEFT JOIN c ON item_a
     "merge_by_band": _merged("up").replace("PARTITION BY bucket_value", "PARTITION BY bucket_idx, bucket_value"),
     "merge_split_range": _merged("up").replace("BETWEEN 0 AND 255", "BETWEEN 64 AND 191"),
     "merge_composed": _merged("up"),
+    "dedup_stream": _flagged("min"),
+    "bucket_ranks": f"WITH {_BANDS}\nSELECT doc_id, bucket_idx, bucket_value, row_number() OVER (PARTITION BY bucket_idx, bucket_value ORDER BY doc_id) AS rank FROM band",
+    "merged_flag_files": _merged("up"),
+    "index_files": f'{_GROUP}\nSELECT "group", item_number, bucket_value, split FROM idx',
+    "rebanded_flags": _REBANDED,
+    "merge_stored": _merged("up").replace("BETWEEN 0 AND 255", "BETWEEN 64 AND 191"),
+    "dedup_incremental": _INCREMENTAL,
     "merge_forward": _merged("up"),
     "merge_reverse": _merged("down"),
     "merge_cross": f"{_BOTH}\nSELECT count(*) AS cross_duplicates FROM ranked WHERE crosses AND up > 1",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import IoError, JsonError, MissingField
-from ..plans.staging import written
+from ..staging import written
 
 LINE = ["file_path", "item_number", "value"]
 
@@ -90,7 +90,8 @@ def from_table(df: DataFrame, *, order_col: str, text_col: str | None = "text",
 
     Rows are dealt by ranges of source and order and numbered within their partition, and counts of partitions are
     summed up, so a source of very many rows is numbered by many tasks. All that is kept is moved and written once: without
-    a ``text_col`` that is narrow, such as band values and ids.
+    a ``text_col`` that is narrow, such as band values and ids. Ranges are drawn from a sample, for which the input is run once more, so what is
+    costly to make should be a written table.
     """
     source = F.col(source_col).cast("string") if source_col else F.lit("table")
     text = [F.col(text_col).alias("text")] if text_col else []

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config import ConfigError
+from .config import ConfigError
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,10 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """A scan dealt out to all cores where it has fewer files than there are cores: one of them may be a single partition."""
-    spark = df.sparkSession
-    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    """A scan dealt out to all cores where it has fewer partitions than there are cores; one of more partitions isn't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
