@@ -283,3 +283,36 @@ def test_pii_drops_no_pattern_beyond_the_broadcast(spark, odd):
     assert found.columns == ["doc_id", "text", "pii"]
     assert sorted(map(str, found.collect())) == wanted
     assert sum(r.pii.n_found for r in found.filter("text like '%hidden%'").collect()) == 4
+
+
+HELPERS = ["_content", "_rank", "_key", "_hash", "_times", "_copy", "_rate", "_score", "_id", "_gone", "_text_hash", "_found", "_row", "_text", "_new", "_last", "row", "id", "text_hash", "key", "hash", "rate", "times", "copy", "content", "rank", "component", "kept", "gone", "of", "start", "end", "domain", "pattern", "found", "made", "digest"]
+
+
+def test_extra_columns_keep_their_values(spark, odd, monkeypatch):
+    """Whatever names extra columns have, every stage and every operator that returns rows as they were leaves them alone."""
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").filter("length(text) < 1000 or text is null")
+    extra = [f"value of {h}" for h in HELPERS]
+    rows = docs.select("*", *(F.lit(v).alias(h) for h, v in zip(HELPERS, extra, strict=True)))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: labels)
+
+    def same(found, columns):
+        assert found.columns == columns
+        held = found.collect()
+        assert held and all([r[h] for h in HELPERS] == extra for r in held)
+
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_duplicates, corpus_pipeline.mask_secrets, corpus_pipeline.mix_sources):
+        same(stage(spark, rows, None), rows.columns)
+    assert corpus_pipeline.pack_documents(spark, rows, None).count() >= rows.count()
+    same(substring.remove_spans(rows, substring.repeated_spans(rows)), [*rows.columns, "kept_spans"])
+    patterns = spark.createDataFrame([("text of", 0, 0.9), ("same id", 1, 0.9)], "pattern string, kind int, score double")
+    for most in (10, 1):
+        same(pii.extract(rows, patterns, max_patterns=most), [*rows.columns, "pii"])
+
+
+def test_short_lines_are_repeats_and_not_passages(spark):
+    rows = spark.createDataFrame([(1, "Yes\nfirst of all this\n\nend"), (2, "yes\nanother line here"), (3, "Yes \n yes\nEND")], "doc_id long, text string")
+    spans = substring.repeated_spans(rows)
+    assert sorted((r.doc_id, r.start, r.end, r.n_words, r.passage, r.kept_doc_id) for r in spans.collect()) == [(2, 0, 4, 1, 0, 1), (3, 0, 13, 3, 0, 1)]
+    assert {r.doc_id: r.text for r in substring.remove_spans(rows, spans).collect()} == {1: "Yes\nfirst of all this\n\nend", 2: "another line here", 3: ""}
+    assert {r.doc_id: r.text for r in substring.remove_spans(rows, spans, min_words=2).collect()}[2] == "yes\nanother line here"

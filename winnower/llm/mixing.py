@@ -202,12 +202,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[int, float] = TARGETS,
 def take(docs: DataFrame, mixed: DataFrame, *, seed: int = 7) -> DataFrame:
     """``docs`` with each row as often as its rate says; a fraction is decided by a hash of the document."""
     key = lambda c: F.coalesce(c, F.lit(-(2**63)))
-    rates = mixed.groupBy(key(F.col("doc_id")).alias("_key"), F.col("text_hash").alias("_hash")).agg(F.max("rate").alias("_rate"))
-    keyed = docs.withColumn("_key", key(F.col("doc_id"))).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    luck = F.pmod(F.xxhash64("_key", "_hash", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    times = (F.floor("_rate") + F.when(luck < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int")
-    copies = keyed.join(rates, ["_key", "_hash"]).withColumn("_times", times).filter("_times > 0")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(docs[c] for c in docs.columns))
+    rates = mixed.groupBy(key(F.col("doc_id")).alias("key"), F.col("text_hash").alias("hash")).agg(F.max("rate").alias("rate"))
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key(docs["doc_id"]).alias("key"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("hash"))
+    luck = F.pmod(F.xxhash64("key", "hash", F.lit(seed)), F.lit(1_000_000)) / 1e6
+    times = (F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+    copies = keyed.join(rates, ["key", "hash"]).withColumn("times", times).filter("times > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

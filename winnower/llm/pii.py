@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -190,7 +191,7 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(docs: DataFrame, patterns: DataFrame, text: str = "text", *, max_patterns: int = MAX_PATTERNS) -> DataFrame:
-    """``docs`` with a struct column ``pii`` in place of its text: base counts and digest, all spans, number found.
+    """``docs`` with a struct column ``pii`` (which replaces one of that name) in place of its text: base counts and digest, all spans, number found.
 
     The best kind of each pattern is broadcast where there are at most ``max_patterns``, else joined by each text's hash: texts
     of equal hashes share their patterns, which are looked up by their words.
@@ -210,9 +211,10 @@ def extract(docs: DataFrame, patterns: DataFrame, text: str = "text", *, max_pat
 
         join.__annotations__ = {"texts": pa.Array, "found": pa.Array, "return": pa.Array}
         met = docs.select(F.xxhash64(whole).alias("text_hash"), whole.alias("text")).mapInArrow(_beside, "text_hash long, pattern string").distinct().join(known, "pattern")
-        per = met.groupBy("text_hash").agg(F.collect_list(F.struct("pattern", "kind", "score")).alias("_found")).withColumnRenamed("text_hash", "_text_hash")
-        both = docs.withColumn("_text_hash", F.xxhash64(whole)).join(per, "_text_hash", "left")
-        return both.withColumn("pii", F.arrow_udf(join, StructType.fromDDL(EXTRACT))(whole, F.col("_found"))).drop("_text_hash", "_found")
+        key, own = (f"{c}_{uuid.uuid4().hex}" for c in ("hash", "found"))  # no column of the input has these names
+        per = met.groupBy(F.col("text_hash").alias(key)).agg(F.collect_list(F.struct("pattern", "kind", "score")).alias(own))
+        both = docs.withColumn(key, F.xxhash64(whole)).join(per, key, "left")
+        return both.withColumn("pii", F.arrow_udf(join, StructType.fromDDL(EXTRACT))(whole, F.col(own))).drop(key, own)
     held = docs.sparkSession.sparkContext.broadcast({r.pattern: (r.kind, r.score) for r in some})
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -17,6 +17,7 @@ document wherever their fingerprints link. Columns beside id and text aren't rea
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -486,10 +487,11 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank = lambda c: F.coalesce(c, F.lit(2**63 - 1))
     groups = similar_groups(docs, id_col, text_col).withColumn("rank", rank(F.col("doc_id")))
     # Of each component the least id, and of that id's texts one.
-    best = groups.groupBy("component", "rank").agg(F.min("content").alias("_content")).groupBy("component").agg(F.min_by("_content", "rank").alias("_content"), F.min("rank").alias("_rank"))
-    keyed = with_column(docs, text_col, "_content", LongType(), _contents).withColumn("_rank", rank(F.col(id_col)))
-    kept = keyed.join(best.select("_rank", "_content"), ["_rank", "_content"])
-    return kept.dropDuplicates(["_rank", "_content"]).select(*docs.columns)
+    place, content = (f"{c}_{uuid.uuid4().hex}" for c in ("rank", "content"))  # no column of the input has these names
+    best = groups.groupBy("component", "rank").agg(F.min("content").alias(content)).groupBy("component").agg(F.min_by(content, "rank").alias(content), F.min("rank").alias(place))
+    keyed = with_column(docs, text_col, content, LongType(), _contents).withColumn(place, rank(F.col(id_col)))
+    kept = keyed.join(best.select(place, content), [place, content])
+    return kept.dropDuplicates([place, content]).select(*docs.columns)
 
 
 def hex_of(fp: Column) -> Column:

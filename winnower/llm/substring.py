@@ -3,9 +3,9 @@
 A unit that occurs more than once keeps its earliest occurrence, by document id and then by place; the rest are
 removed. Passages that begin in the middle of a line never make a unit of their own, so the clauses of a line are hashed beside
 it, into the same groups; ``clauses=False`` leaves lines or paragraphs alone. Removed units of a text that are fewer than ``unit_words``
-words apart make one span, reported in code points of the original text, and spans of fewer than ``min_words`` words stay: a
-greeting is no passage. Units of fewer than ``unit_words`` words are too common to be evidence and are removed only inside a
-span.
+words apart make one span, reported in code points of the original text. Every line or paragraph that has a word counts, whatever its
+length; clauses, which are ours and not lines, need ``unit_words`` words. ``passage`` is 1 for spans of PASSAGE_WORDS words or
+more: a greeting is no passage, and who wants to remove passages alone gives remove_spans() that floor.
 
 Texts are read once for the groups and once for the spans, and only digests and offsets are shuffled. A digest's earliest
 document is aggregated before the shuffle and joined back, so a line that stands in a third of all texts is split by the
@@ -36,14 +36,14 @@ UNITS = {
 }
 CLAUSE = r"[^\n.,;:!?]*[\n.,;:!?]+|[^\n.,;:!?]+"
 UNIT_WORDS = 3
-MIN_WORDS = 25
+PASSAGE_WORDS = 25
 ROWS = "doc_id long, text_hash long, start int, end int, low int, high int, digest binary, first boolean"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("digest", pa.binary()), ("first", pa.bool_())])
 LAST = 2**63 - 1
 
 
 def text_units(text: str, pattern: re.Pattern, unit_words: int, clause: re.Pattern | None = re.compile(CLAUSE)) -> list[tuple[int, int, int, int, bytes]]:
-    """(start, end, low, high, digest) of every unit of enough words, a line before its clauses. Words are lower-cased and
+    """(start, end, low, high, digest) of every line of a word or more and every clause of ``unit_words``, a line before its clauses. Words are lower-cased and
     cut at white space and ends of clauses; ``low`` and ``high`` are the places of a unit's words among all of the text."""
     out, at = [], 0
     for m in pattern.finditer(text):
@@ -57,7 +57,7 @@ def text_units(text: str, pattern: re.Pattern, unit_words: int, clause: re.Patte
                 at += len(own)
         if not clause:
             at += len(words)
-        if len(words) >= unit_words:
+        if words:
             out.append((begin, end, low, at, _digest(words)))
         # A clause of all the line's words is the line.
         out += [(a, b, x, y, _digest(own)) for a, b, x, y, own in parts if len(own) >= unit_words and own != words]
@@ -91,8 +91,8 @@ def units(docs: DataFrame, unit: str = "line", *, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, ROWS)
 
 
-def repeated_spans(docs: DataFrame, unit: str = "line", *, id_col: str = "doc_id", text_col: str = "text", unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS, clauses: bool = True) -> DataFrame:
-    """Spans to remove: id, start, end, n_units, n_words, and the document that keeps the span's first unit."""
+def repeated_spans(docs: DataFrame, unit: str = "line", *, id_col: str = "doc_id", text_col: str = "text", unit_words: int = UNIT_WORDS, min_words: int = 0, clauses: bool = True) -> DataFrame:
+    """Spans of ``min_words`` words or more: id, start, end, n_units, n_words, passage, and the document that keeps the span's first unit."""
     found = units(docs, unit, id_col=id_col, text_col=text_col, unit_words=unit_words, clauses=clauses).withColumn("rank", F.coalesce("doc_id", F.lit(LAST)))
     groups = found.groupBy("digest").agg(F.min("rank").alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
     gone = found.join(groups, "digest").filter("rank <> kept or not first").select("doc_id", "text_hash", "start", "end", "low", "high", "kept")
@@ -106,33 +106,35 @@ def repeated_spans(docs: DataFrame, unit: str = "line", *, id_col: str = "doc_id
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), (F.max("high") - F.min("low")).cast("long").alias("n_words"), F.min_by("kept", F.struct("low", -F.col("high"))).alias("kept")
     )
     return spans.filter(F.col("n_words") >= min_words).select(
-        F.col("doc_id").alias(id_col), "text_hash", "start", "end", "n_units", "n_words", F.when(F.col("kept") != LAST, F.col("kept")).alias("kept_doc_id")
+        F.col("doc_id").alias(id_col), "text_hash", "start", "end", "n_units", "n_words", (F.col("n_words") >= PASSAGE_WORDS).cast("int").alias("passage"), F.when(F.col("kept") != LAST, F.col("kept")).alias("kept_doc_id")
     )
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the spans' text, and ``kept_spans``: (start, end) in the original of each piece that stays."""
-    key = F.xxhash64(id_col)
-    per = spans.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone")).withColumn("_key", F.xxhash64("_id"))
+def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 0) -> DataFrame:
+    """``docs`` without the text of spans of ``min_words`` words or more, and ``kept_spans`` (which replaces a column of that name): (start,
+    end) in the original of each piece that stays. All other columns stay, whatever their names."""
+    long = spans.filter(F.col("n_words") >= min_words)
+    per = long.groupBy(F.col(id_col).alias("of"), F.col("text_hash").alias("of_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")).withColumn("of_key", F.xxhash64("of"))
 
     @F.arrow_udf(LongType())
     def hash_of(text: pa.Array) -> pa.Array:
         return pa.array([xxhash.xxh64_intdigest((t or "").encode()) - (1 << 63) for t in text.to_pylist()], pa.int64())
 
-    both = docs.withColumn("_key", key).withColumn("_text_hash", hash_of(F.col(text_col)))
-    joined = both.join(per, (both["_key"] == per["_key"]) & both[id_col].eqNullSafe(per["_id"]) & (both["_text_hash"] == per["_hash"]), "left")
+    own = docs[id_col]
+    both = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), own.alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.xxhash64(own).alias("key"), hash_of(docs[text_col]).alias("hash"))
+    joined = both.join(per, (F.col("key") == F.col("of_key")) & F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    size = F.length(F.coalesce(F.col(text_col), F.lit("")))
-    edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.coalesce("_gone", none), F.array(F.struct(size.alias("start"), size.alias("end"))))
+    size = F.length("text")
+    edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.coalesce("gone", none), F.array(F.struct(size.alias("start"), size.alias("end"))))
     pieces = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.struct(F.element_at(edges, i)["end"].alias("start"), F.element_at(edges, i + 1)["start"].alias("end")))
-    kept = F.filter(pieces, lambda p: p["end"] > p["start"])
-    text = F.array_join(F.transform("kept_spans", lambda p: F.substring(F.col(text_col), p["start"] + 1, p["end"] - p["start"])), "")
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.withColumn("kept_spans", kept).select(*(F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(c).alias(text_col) if n == text_col else c for n, c in zip(docs.columns, columns, strict=True)), "kept_spans")
+    joined = joined.withColumn("kept", F.filter(pieces, lambda p: p["end"] > p["start"]))
+    text = F.array_join(F.transform("kept", lambda p: F.substring("text", p["start"] + 1, p["end"] - p["start"])), "")
+    left = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(text)
+    return joined.select(*((left if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c != "kept_spans"), F.col("kept").alias("kept_spans"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated passages of all ``documents``, each with the document that keeps it."""
+    """Repeated lines and passages of all ``documents``, each with the document that keeps it."""
     return repeated_spans(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
@@ -153,7 +155,7 @@ WITH cut AS (
   SELECT doc_id, start, start + length(tile) AS "end", low, low + words AS high, norm FROM placed WHERE norm <> whole AND words >= {UNIT_WORDS}
   UNION ALL
   SELECT doc_id, min(start), max(start + length(tile)), min(low), max(low + words), any_value(whole) FROM placed
-  GROUP BY doc_id, n HAVING any_value(whole) <> '' AND len(string_split(any_value(whole), ' ')) >= {UNIT_WORDS}
+  GROUP BY doc_id, n HAVING any_value(whole) <> ''
 ), ranked AS (
   SELECT *, min(doc_id) OVER (PARTITION BY md5(norm)) AS kept, row_number() OVER (PARTITION BY doc_id, md5(norm) ORDER BY low, high DESC) AS nth FROM both_levels
 ), gone AS (
@@ -162,6 +164,6 @@ WITH cut AS (
   SELECT *, sum(CASE WHEN so_far IS NULL OR low - so_far >= {UNIT_WORDS} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY low, high DESC ROWS UNBOUNDED PRECEDING) AS run FROM gone
 )
 SELECT doc_id, CAST(min(start) AS INTEGER) AS start, CAST(max("end") AS INTEGER) AS "end", count(*) AS n_units,
-  CAST(max(high) - min(low) AS BIGINT) AS n_words, arg_min(kept, low * 4294967296 - high) AS kept_doc_id
-FROM runs GROUP BY doc_id, run HAVING max(high) - min(low) >= {MIN_WORDS}
+  CAST(max(high) - min(low) AS BIGINT) AS n_words, CAST(max(high) - min(low) >= {PASSAGE_WORDS} AS INTEGER) AS passage, arg_min(kept, low * 4294967296 - high) AS kept_doc_id
+FROM runs GROUP BY doc_id, run
 """
