@@ -7,6 +7,8 @@ tested against brute force.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from winnower.llm.common import staged, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, name="_score").filter(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = f"score_{uuid.uuid4().hex}"  # no column of the input has that name
+    return toxicity.score(docs, model, name=score).filter(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
