@@ -333,3 +333,22 @@ def test_hash_column_equals_the_public_library(spark, monkeypatch):
         for column in (F.col("t"), F.encode("t", "UTF-8")):
             found = [r.h for r in df.select(xxh3_64(column, seed).alias("h")).collect()]
             assert [None if h is None else h % 2**64 for h in found] == wanted
+
+
+def test_parameters_are_checked_without_a_row(spark, tmp_path):
+    from winnower.operators import dedup as own
+
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    assert own.write_bands(_docs(spark, TEXTS), a, SMALL) == len(TEXTS)
+    own.write_bands(_docs(spark, TEXTS, "b"), b, MinHashConfig(3, 2, 2))
+    # The rows of a are spoiled: what is checked at once are the parameters beside them.
+    spoiled = spark.read.parquet(a).withColumn("bands", F.slice("bands", 1, 2)).collect()
+    spark.createDataFrame(spoiled, spark.read.parquet(a).schema).write.mode("append").parquet(a)
+    rows, config = own.read_bands(spark, [a])
+    assert config == SMALL
+    with pytest.raises(Exception, match="InvalidFormat"):
+        rows.collect()
+    with pytest.raises(ConfigError):
+        own.read_bands(spark, [a, b])
+    rows, config = own.read_bands(spark, [b, b])
+    assert config.num_buckets == 2 and rows.count() == 2 * len(TEXTS) and set(rows.columns) == {"file_path", "item_number", "bands"}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,26 +61,49 @@ PARAMETERS = ["ngram_size", "num_buckets", "band_size"]
 
 def write_bands(docs: DataFrame, path: str, config: MinHashConfig = MinHashConfig(), *, text_col: str = "text") -> int:
     """Band values of documents (file_path, item_number, text), and the parameters they were made with, as a table; how
-    many documents there are."""
+    many documents there are. The parameters also stand beside the table, in a row of their own."""
+    spark = docs.sparkSession
     rows = compute_bands(docs.select("file_path", "item_number", text_col), config, text_col=text_col)
     rows.select("*", *(F.lit(getattr(config, c)).alias(c) for c in PARAMETERS)).write.mode("overwrite").parquet(path)
-    return docs.sparkSession.read.parquet(path).count()
+    own = spark.createDataFrame([tuple(getattr(config, c) for c in PARAMETERS)], ", ".join(f"{c} int" for c in PARAMETERS))
+    own.coalesce(1).write.mode("overwrite").parquet(_parameters(path))
+    return spark.read.parquet(path).count()
+
+
+def _parameters(path: str) -> str:
+    return f"{path.rstrip('/')}/_parameters"
+
+
+def _stored_parameters(spark: SparkSession, path: str) -> MinHashConfig | None:
+    """What write_bands() has put down beside a table; None where there is nothing."""
+    try:
+        return MinHashConfig(*spark.read.parquet(_parameters(path)).select(*PARAMETERS).first())
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def read_bands(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, MinHashConfig]:
     """Stored signatures of one or more tables, and their one configuration.
 
     ConfigError where there is no table or the parameters differ, InvalidFormat where a table isn't laid out as
-    write_bands() does or a row has another number of bands than its parameters say.
+    write_bands() does or a row has another number of bands than its parameters say: at once where the parameters must be
+    looked for in the rows, and else in the job that meets the row, for then no row is read here.
     """
     if not paths:
         raise ConfigError("no signature tables")
-    rows = None
+    rows, known = None, [_stored_parameters(spark, p) for p in paths]
     for p in paths:
         part = spark.read.parquet(p)
         if missing := {"file_path", "item_number", "bands", *PARAMETERS} - set(part.columns):
             raise InvalidFormat(f"{p} has no columns {sorted(missing)}")
         rows = part if rows is None else rows.unionByName(part)
+    if all(known):
+        config = check_same_config(known)
+        wrong = F.raise_error(F.lit("InvalidFormat: a row has another number of bands than its parameters say")).cast("array<bigint>")
+        right = (F.size("bands") == F.lit(config.num_buckets)) & (F.struct(*PARAMETERS) == F.struct(*(F.lit(getattr(config, c)) for c in PARAMETERS)))
+        return rows.withColumn("bands", F.when(right, F.col("bands")).otherwise(wrong)).drop(*PARAMETERS), config
     found = rows.groupBy(*PARAMETERS).agg(F.bool_and(F.size("bands") == F.col("num_buckets")).alias("whole")).collect()
     config = check_same_config([MinHashConfig(*r[:3]) for r in found]) if found else MinHashConfig()
     if not all(r.whole for r in found):
