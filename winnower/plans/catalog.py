@@ -17,6 +17,7 @@ from ..functions.ngrams import char_ngrams, ngram_set
 from ..functions.signature import band_values, bands_of_signature, signature, signature_slice, xxh3_64
 from ..operators import generations, similarity
 from ..operators.apply import apply_each, apply_whole
+from ..operators.detection import Detection, detect
 from ..operators.dedup import DedupResult, dedup_bands, explode_bands, flags_of, index_entries, read_bands, read_index, split_histogram, write_bands, write_index
 from ..operators.merge import MergeResult, MergeSource, either, merge, merge_tables, write_index_table
 from ..operators.similarity import similar_pairs, write_pairs
@@ -29,6 +30,8 @@ from ..streaming.flags import flag_stream, stream_flags
 from ..staging import dealt, shared_folder, written
 
 CHECKED = MinHashConfig(5, 4, 2)
+#: Bands whose rate of detection lies between 0 and 1 for similarities of 0.5 to 0.9.
+DETECTING = MinHashConfig(5, 4, 8)
 TARGET = "src1"
 LATER = "src15"
 
@@ -331,6 +334,20 @@ def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dealt(spark, sf_dir).select("doc_id", xxh3_64("text").alias("hash"), xxh3_64("text", 2024).alias("seeded"))
 
 
+def _detected(spark: SparkSession, sf_dir: str) -> Detection:
+    return detect(_dealt(spark, sf_dir).withColumnRenamed("doc_id", "idx"), DETECTING, threshold=0.6)
+
+
+def band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct n-gram sets, by the least document that has each, that share a band, and how similar they are."""
+    return _detected(spark, sf_dir).candidates.select(F.col("i").alias("doc_a"), F.col("j").alias("doc_b"), "n_bands", "similarity")
+
+
+def band_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many similar pairs the bands find, by similarity, and what share they should."""
+    return _detected(spark, sf_dir).by_similarity()
+
+
 def short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags of the documents without an n-gram, whose signatures are equal: all but the first are duplicates of it."""
     short = _documents(spark, sf_dir).filter(F.length("text") < CHECKED.ngram_size).select("doc_id")
@@ -353,6 +370,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         short_documents, jsonl_roundtrip, dedup_stored, index_roundtrip, src_roundtrip, signature_band, unique_lines, pairwise_similarity, pair_lines, all_pairs,
         merge_by_band, merge_split_range, merge_composed, merge_stored, dedup_incremental,
         dedup_stream, bucket_ranks, rebanded_flags, merged_flag_files, index_files, text_hashes,
+        band_pairs, band_detection,
     )
 }
 
@@ -413,6 +431,16 @@ _JACCARD = f"""WITH g AS (SELECT DISTINCT doc_id, gram FROM ({oracle.gram_rows(5
 c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
 s AS (SELECT doc_a, doc_b, both_have / (x.n + y.n - both_have) AS similarity FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
   UNION ALL SELECT a.doc_id, b.doc_id, 1.0 FROM documents a JOIN documents b ON a.doc_id < b.doc_id AND length(a.text) < 5 AND length(b.text) < 5)"""
+_DETECTED = f"""WITH sets AS (SELECT d.doc_id, coalesce(grams, []) AS grams FROM documents d LEFT JOIN (SELECT doc_id, list(DISTINCT gram ORDER BY gram) AS grams FROM ({oracle.gram_rows(5)}) GROUP BY doc_id) USING (doc_id)),
+heads AS (SELECT min(doc_id) AS doc_id, any_value(len(grams)) AS n FROM sets GROUP BY grams),
+class_docs AS (SELECT doc_id, n, text FROM heads JOIN documents USING (doc_id)),
+{oracle.signatures(5, DETECTING.total_hashes, "class_docs")},
+bucket AS (SELECT doc_id, seed // {DETECTING.band_size} AS bucket_idx, list(hash ORDER BY seed) AS v FROM signature GROUP BY 1, 2),
+shared AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS n_bands FROM bucket a JOIN bucket b ON a.bucket_idx = b.bucket_idx AND a.v = b.v AND a.doc_id < b.doc_id GROUP BY 1, 2),
+g AS (SELECT DISTINCT doc_id, gram FROM ({oracle.gram_rows(5, "class_docs")})),
+c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+s AS (SELECT doc_a, doc_b, both_have / (x.n + y.n - both_have) AS similarity FROM c JOIN heads x ON x.doc_id = doc_a JOIN heads y ON y.doc_id = doc_b),
+found AS (SELECT doc_a, doc_b, n_bands, coalesce(similarity, 0.0::DOUBLE) AS similarity FROM shared LEFT JOIN s USING (doc_a, doc_b))"""
 _GRAMS = "list_transform(range(1, length(text) - 3), lambda i: substring(text, i, 5))"
 
 ORACLE_SQL: dict[str, str] = {
@@ -430,6 +458,11 @@ ORACLE_SQL: dict[str, str] = {
     "unique_documents": f"{_GROUP}\nSELECT g AS global_idx, doc_id, text FROM placed WHERE g NOT IN (SELECT g FROM dup)",
     "unique_of_source": f"{_GROUP}\nSELECT g AS global_idx, doc_id, text FROM placed WHERE source = '{TARGET}' AND g NOT IN (SELECT g FROM dup)",
     "jaccard_pairs": f"{_JACCARD}\nSELECT * FROM s WHERE similarity >= 0.6",
+    "band_pairs": f"{_DETECTED}\nSELECT doc_a, doc_b, n_bands, similarity FROM found",
+    "band_detection": f"""{_DETECTED}
+SELECT bin, coalesce(n, 0) AS n_candidates, n_similar, expected_rate FROM (SELECT CAST(floor(similarity * 20) AS INTEGER) AS bin, count(*) AS n FROM found GROUP BY 1)
+FULL JOIN (SELECT CAST(floor(similarity * 20) AS INTEGER) AS bin, count(*) AS n_similar, round(avg(1 - pow(1 - pow(similarity, {DETECTING.band_size}), {DETECTING.num_buckets})), 6) AS expected_rate
+  FROM s WHERE similarity >= 0.6 GROUP BY 1) USING (bin)""",
     "pairwise_similarity": f"{_JACCARD}\nSELECT similarity, 'd' || doc_a AS id_a, 'd' || doc_b AS id_b FROM s WHERE similarity >= 0.8",
     "all_pairs": f"""WITH g AS (SELECT DISTINCT item_id, gram FROM ({oracle.gram_rows(5, "benchmark", "item_id")})), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY item_id),
 c AS (SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.item_id < b.item_id GROUP BY 1, 2)
