@@ -40,8 +40,15 @@ BLOCK_DIMS = 16
 PARTS = 128
 LEAST_ROWS = 512
 MAX_ROWS = 65_536
-#: Pairs that are verified at once.
+#: Bytes of a part's full vectors at most, each held twice, as it is and rotated.
+MAX_BYTES = 128 << 20
+#: Products that are formed at once, and pairs that are verified one by one at once.
+ENTRIES_AT_ONCE = 1 << 20
 PAIRS_AT_ONCE = 50_000
+#: Of how many products one must be a candidate for blocks to be told apart by products too.
+DENSE = 16
+#: What rounding may take from a product: what is nearer to a bound than this is computed pair by pair, equally in all tasks.
+ROUNDING = 1e-9
 #: What rounding may take from a block's distance.
 SLACK = 1e-5
 SEED = 20240229
@@ -174,7 +181,79 @@ def _mark(cosine: float, width: int):
 
 def _doubles(column: pa.Array) -> np.ndarray:
     """The bytes of binary values of one length, as rows of doubles."""
-    return np.stack([np.frombuffer(x, np.float64) for x in column.to_pylist()])
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float64).reshape(len(column), -1)
+
+
+def spanning(label: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the edges (x, z) make a spanning forest of them and of what the labels connect already, and the labels afterwards.
+
+    In every round each label takes one edge to a lesser one, so no circle closes, and at most half of the labels that have
+    edges are left."""
+    at, taken = np.arange(len(x)), []
+    while True:
+        a, b = label[x[at]], label[z[at]]
+        apart = a != b
+        if not apart.any():
+            return np.concatenate(taken) if taken else at[:0], label
+        at, a, b = at[apart], a[apart], b[apart]
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        taken.append(at[first])
+        to = np.arange(len(label))
+        to[high] = np.minimum(a, b)[first]
+        while not np.array_equal(further := to[to], to):
+            to = further
+        label = to[label]
+
+
+def _linked(cosine, bounds, block, unit, rotated, name, home, a, b, one_part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some rows of ``a`` after others, and which rows of ``b`` each is linked with and ``block`` counts, as 1 in a matrix.
+
+    Where many are candidates, products of the blocks tell which one a pair lies nearest in; what they leave open, and all
+    where few are, is verified pair by pair."""
+    across = np.ascontiguousarray(unit[b].T)
+    sides: list = []
+
+    def nearest(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distance by coordinate in the block, and the least one in the others."""
+        if not sides:
+            for low, high in bounds:
+                z = rotated[b, low:high]
+                sides.append((np.ascontiguousarray(z.T), (z * z).sum(axis=1)))
+        own, least = None, np.full((len(p), len(b)), np.inf)
+        for k, (low, high) in enumerate(bounds):
+            x = rotated[p, low:high]
+            found = ((x * x).sum(axis=1)[:, None] + sides[k][1][None, :] - 2 * (x @ sides[k][0])) / (high - low)
+            if k == block:
+                own = found
+            else:
+                np.minimum(least, found, out=least)
+        return own, least
+
+    step = max(1, ENTRIES_AT_ONCE // max(1, len(b)))
+    for at in range(0, len(a), step):
+        p = a[at : at + step]
+        product = unit[p] @ across
+        near = (product >= cosine - ROUNDING) & (name[p][:, None] != name[b][None, :])
+        if one_part:  # two rows at home in one part meet twice
+            near &= ~home[b][None, :] | (name[p][:, None] < name[b][None, :])
+        if not (n := np.count_nonzero(near)):
+            continue
+        counted = np.zeros(near.shape)
+        if n * DENSE > near.size:
+            own, least = nearest(p)
+            counted[near & (product >= cosine + ROUNDING) & (own < least - ROUNDING)] = 1
+            near &= (counted == 0) & (own <= least + ROUNDING)
+        r, c = np.nonzero(near)
+        for k in range(0, len(r), PAIRS_AT_ONCE):
+            i, j = r[k : k + PAIRS_AT_ONCE], c[k : k + PAIRS_AT_ONCE]
+            good = (unit[p[i]] * unit[b[j]]).sum(axis=1) >= cosine
+            i, j = i[good], j[good]
+            square = (rotated[p[i]] - rotated[b[j]]) ** 2
+            parts = np.stack([square[:, low:high].sum(axis=1) / (high - low) for low, high in bounds], axis=1)
+            mine = parts.argmin(axis=1) == block
+            counted[i[mine], j[mine]] = 1
+        yield p, counted
 
 
 def _count(cosine: float, width: int):
@@ -189,36 +268,16 @@ def _count(cosine: float, width: int):
             unit, rotated = (_doubles(row.column(c)) for c in (9, 10))
             n = row.column(11).to_numpy(zero_copy_only=False)
             links, label = np.zeros(len(name), np.int64), np.arange(len(name))
-            edges: list[tuple[int, int]] = []
-
-            def verify(x: np.ndarray, z: np.ndarray) -> None:
-                good = (unit[x] * unit[z]).sum(axis=1) >= cosine  # noqa: B023
-                x, z = x[good], z[good]
-                square = (rotated[x] - rotated[z]) ** 2  # noqa: B023
-                parts = np.stack([square[:, low:high].sum(axis=1) / (high - low) for low, high in bounds], axis=1)  # noqa: B023
-                mine = parts.argmin(axis=1) == block  # noqa: B023
-                x, z = x[mine], z[mine]
-                np.add.at(links, x, n[z])  # noqa: B023
-                np.add.at(links, z, n[x])  # noqa: B023
-                while len(x := x[(apart := label[x] != label[z])]):  # noqa: B023
-                    z = z[apart]
-                    edges.append((name[x[0]], name[z[0]]))  # noqa: B023
-                    label[label == label[z[0]]] = label[x[0]]  # noqa: B023
-
+            ends = [np.zeros((0, 2), np.int64)]
             for a, b in sides:
-                across = np.ascontiguousarray(unit[b].T)
-                for at in range(0, len(a), 256):
-                    p = a[at : at + 256]
-                    r, c = np.divmod(np.flatnonzero(unit[p] @ across >= cosine - 1e-9), max(len(b), 1))
-                    x, z = p[r], b[c]
-                    keep = name[x] != name[z]
-                    if len(sides) == 1:  # two rows at home in one part meet twice
-                        keep &= ~home[z] | (name[x] < name[z])
-                    x, z = x[keep], z[keep]
-                    for k in range(0, len(x), PAIRS_AT_ONCE):
-                        verify(x[k : k + PAIRS_AT_ONCE], z[k : k + PAIRS_AT_ONCE])
+                for p, counted in _linked(cosine, bounds, block, unit, rotated, name, home, a, b, len(sides) == 1):
+                    links[p] += (counted @ n[b].astype(np.float64)).astype(np.int64)
+                    links[b] += (n[p].astype(np.float64) @ counted).astype(np.int64)
+                    r, c = np.nonzero(counted)
+                    kept, label = spanning(label, p[r], b[c])
+                    ends.append(np.stack([name[p[r[kept]]], name[b[c[kept]]]], axis=1))
+            ends = np.concatenate(ends)
             some = np.flatnonzero(links)
-            ends = np.array(edges, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(name[some], ends[:, 0])), pa.array([*[None] * len(some), *ends[:, 1].tolist()], pa.int64()), pa.array(np.append(links[some], np.zeros(len(ends), np.int64)))],
                 names=["class", "other", "links"],
@@ -250,7 +309,8 @@ def links(classes: DataFrame, cosine: float = COSINE, *, width: int = BLOCK_DIMS
     if task_rows is None:
         task_rows = min(MAX_ROWS, max(LEAST_ROWS, dealt.count() // PARTS))
     crowds = dealt.groupBy(*CELL).agg(F.count("*").alias("n"), F.count(F.when(F.col("home"), 1)).alias("homes")).filter("n > 1 and homes > 0")
-    parts = F.ceil(F.col("n") / task_rows).cast("int")
+    rows = F.least(F.lit(float(task_rows)), F.greatest(F.lit(1.0), F.floor(MAX_BYTES / (16 * F.col("dims"))).cast("double")))
+    parts = F.ceil(F.col("n") / rows).cast("int")
     met = dealt.join(crowds, CELL).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("class", "home"), F.col("parts")).cast("int"))
     paired = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*CELL, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "home", "class", "y")
     tasks = paired.repartition(*TASK).sortWithinPartitions(*TASK)
