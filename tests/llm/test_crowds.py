@@ -52,3 +52,17 @@ def test_crowd_of_vectors_around_the_bound_equals_all_cosines(spark, dims, task_
 def test_long_vectors_have_smaller_parts(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "MAX_BYTES", 16 * 64 * 40)
     test_crowd_of_vectors_around_the_bound_equals_all_cosines(spark, 64, None)
+
+
+def test_texts_whose_hashes_share_a_half_stay_apart(spark, monkeypatch):
+    """With one first half for all, as if hashes of 64 bits had met, different texts are still told apart and compared rightly."""
+    import pyarrow as pa
+
+    real = simhash._contents
+    # Sent to workers by value, so they have it too.
+    monkeypatch.setattr(simhash, "_contents", lambda texts: pa.array([[7, x[1]] for x in real(texts).to_pylist()], pa.list_(pa.int64())))
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:100], "x", *words[101:]]), " ".join(words).upper(), " ".join(words[::-1]), " ".join(words[::-1][:190]), "alone", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.drop_similar(rows).collect())
+    assert kept == [0, 3, 5, 6]

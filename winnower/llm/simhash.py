@@ -243,13 +243,18 @@ MAX_COMMON = 50_000
 PAIRS_AT_ONCE = 500_000
 
 
-#: Contents whose hashes are broadcast at most: 8 MB. More are joined by a shuffle of the texts.
+#: Contents whose hashes' first halves are broadcast at most: 8 MB. More are joined by a shuffle of the texts.
 MAX_ENDS = 1_000_000
 
 
 def _contents(texts: list[bytes]) -> pa.Array:
-    """A hash of each text's words: equal for texts that differ in case of A-Z and white space alone."""
-    return pa.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) - (1 << 63) for t in texts], pa.int64())
+    """A hash of 128 bits of each text's words, as two longs: equal for texts that differ in case of A-Z and white space alone."""
+    found = [xxhash.xxh3_128_digest(b" ".join(t.lower().split()), SEED) for t in texts]
+    return pa.array(np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2).tolist(), pa.list_(pa.int64()))
+
+
+#: What tells texts apart, as a column.
+CONTENT = ArrayType(LongType())
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -294,7 +299,7 @@ def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def _prepared(common: np.ndarray, counts: np.ndarray):
-    """(doc_id, text) to doc_id, content, fingerprint, size, sketch and prefix."""
+    """(doc_id, text) to doc_id, key (the hash of its words), fingerprint, size, sketch and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(low, 1000) for b in batches for low in range(0, b.num_rows, 1000)):
@@ -305,7 +310,7 @@ def _prepared(common: np.ndarray, counts: np.ndarray):
             bits = np.array([sketch(x, 64 * SKETCH).view(np.int64) for x in sets], np.int64).reshape(-1, SKETCH)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), _contents(texts), pa.array(prints), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(bits[:, i].copy()) for i in range(SKETCH)), pa.array([long_sketch(x) for x in sets], pa.binary()), pa.array([prefix(x, common, counts) for x in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "content", "fp", "size", *SKETCH_COLUMNS, "bits", "prefix"],
+                names=["doc_id", "key", "fp", "size", *SKETCH_COLUMNS, "bits", "prefix"],
             )
 
     return run
@@ -432,7 +437,7 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, block: int = BLOCK) -> DataFrame:
-    """doc_id, content and component of every row: documents linked by a Jaccard similarity of their five-word
+    """doc_id, key (what tells its words, two longs), content (a number for each key) and component of every row: documents linked by a Jaccard similarity of their five-word
     shingles of SIMILARITY or more, exactly.
 
     Texts of equal words are one node, whatever their number. Fingerprints of five-word shingles that anchors bring together
@@ -442,10 +447,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     is tried.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    columns = ", ".join(f"{c} long" for c in ["doc_id", "content", "fp", "size", *SKETCH_COLUMNS])
-    rows = texts.mapInArrow(_prepared(*common_shingles(texts.select("text"))), f"{columns}, bits binary, prefix array<long>")
-    nodes = staged(rows.drop("doc_id").dropDuplicates(["content"]), "contents")
-    prints = staged(with_column(texts, "text", "content", LongType(), _contents).drop("text"), "similar")
+    columns = ", ".join(f"{c} long" for c in ["fp", "size", *SKETCH_COLUMNS])
+    rows = texts.mapInArrow(_prepared(*common_shingles(texts.select("text"))), f"doc_id long, key array<long>, {columns}, bits binary, prefix array<long>")
+    # Numbers of contents, fixed by being written.
+    nodes = staged(rows.drop("doc_id").dropDuplicates(["key"]).withColumn("content", F.monotonically_increasing_id()), "contents")
+    prints = staged(with_column(texts, "text", "key", CONTENT, _contents).drop("text"), "similar")
     every = nodes.select("content", F.posexplode("prefix").alias("rank", "shingle"))
     prefixes = staged(every.join(every.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle"), "shingle"), "prefixes")
     alone = nodes.select("content", F.col("content").alias("component"), "size", *SKETCH_COLUMNS)
@@ -455,7 +461,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = alone.drop("component").join(crowds, "content", "left").withColumn("component", F.coalesce("component", "content"))
     links = _verified(_dealt(prefixes, staged(joined, "joined"), 2, block).mapInArrow(_candidates(False), "a long, b long"), nodes, texts)
     groups = components(near.unionByName(links))
-    return prints.join(groups.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "content", F.coalesce("component", "content").alias("component"))
+    known = nodes.select("key", "content").join(groups.withColumnRenamed("node", "content"), "content", "left")
+    return prints.join(known, "key").select("doc_id", "key", "content", F.coalesce("component", "content").alias("component"))
 
 
 def _near_prints(nodes: DataFrame, block: int) -> DataFrame:
@@ -473,10 +480,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     bits = lambda c: nodes.select(F.col("content").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
     both = pairs.distinct().join(bits("a"), "a").join(bits("b"), "b").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("size"), "bits_a", "bits_b")
     tried = staged(both.mapInArrow(_sketched, "a long, b long"), "tried")
-    ends = staged(tried.select(F.col("a").alias("content")).union(tried.select("b")).distinct(), "ends")
-    if ends.count() <= MAX_ENDS:  # then texts that aren't compared aren't moved
-        ends = F.broadcast(ends)
-    found = with_column(texts.select("text"), "text", "content", LongType(), _contents).join(ends, "content").groupBy("content").agg(F.min("text").alias("text"))
+    ends = tried.select(F.col("a").alias("content")).union(tried.select("b")).distinct()
+    ends = staged(ends.join(nodes.select("content", "key"), "content").withColumn("half", F.col("key")[0]), "ends")
+    keyed = with_column(texts.select("text"), "text", "key", CONTENT, _contents)
+    if ends.count() <= MAX_ENDS:  # then texts that aren't compared aren't moved: half of a key tells nearly all of them
+        keyed = keyed.withColumn("half", F.col("key")[0]).join(F.broadcast(ends.select("half")), "half", "left_semi")
+    found = keyed.groupBy("key").agg(F.min("text").alias("text")).join(ends.select("key", "content"), "key").select("content", "text")
     sets = staged(with_column(found, "text", "shingles", ArrayType(LongType()), _shingle_sets).drop("text"), "shingles")
     side = lambda c: sets.select(F.col("content").alias(c), F.col("shingles").alias(f"shingles_{c}"))
     return staged(tried.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_similar, "a long, b long"), "similar-links")
@@ -488,8 +497,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = similar_groups(docs, id_col, text_col).withColumn("rank", rank(F.col("doc_id")))
     # Of each component the least id, and of that id's texts one.
     place, content = (f"{c}_{uuid.uuid4().hex}" for c in ("rank", "content"))  # no column of the input has these names
-    best = groups.groupBy("component", "rank").agg(F.min("content").alias(content)).groupBy("component").agg(F.min_by(content, "rank").alias(content), F.min("rank").alias(place))
-    keyed = with_column(docs, text_col, content, LongType(), _contents).withColumn(place, rank(F.col(id_col)))
+    best = groups.groupBy("component", "rank").agg(F.min("key").alias(content)).groupBy("component").agg(F.min_by(content, "rank").alias(content), F.min("rank").alias(place))
+    keyed = with_column(docs, text_col, content, CONTENT, _contents).withColumn(place, rank(F.col(id_col)))
     kept = keyed.join(best.select(place, content), [place, content])
     return kept.dropDuplicates([place, content]).select(*docs.columns)
 
