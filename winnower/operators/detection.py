@@ -70,7 +70,7 @@ def detect(docs: DataFrame, config: MinHashConfig, *, threshold: float) -> Detec
     texts = docs.join(nodes.select("idx", "node"), "idx")
     banded = written(texts.select("node", band_values("text", config).alias("bands")), "class-bands")
     shared = written(band_candidates(banded, "node"), "band-candidates")
-    checked = verified(shared.select(F.col("i").alias("a"), F.col("j").alias("b")), nodes)
+    checked = verified(shared.select(F.col("i").alias("a"), F.col("j").alias("b")), nodes, docs, config.ngram_size)
     found = checked.join(shared.select(F.col("i").alias("a"), F.col("j").alias("b"), "n_bands"), ["a", "b"])
 
     def named(pairs: DataFrame, *more: str) -> DataFrame:
@@ -80,7 +80,7 @@ def detect(docs: DataFrame, config: MinHashConfig, *, threshold: float) -> Detec
     return Detection(
         members.join(heads, "node").select("idx", "class"),
         written(named(found, "n_bands", "similarity"), "candidates"),
-        written(named(linked_nodes(nodes, threshold), "similarity"), "similar"),
+        written(named(linked_nodes(nodes, threshold, docs, config.ngram_size), "similarity"), "similar"),
         config,
         threshold,
     )
