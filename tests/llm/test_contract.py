@@ -200,9 +200,12 @@ def test_op9_rates_reach_what_can_be_reached(spark, sf, tables):
     assert np.allclose(p.sum(axis=1), 1)
     names = sorted({int(q + 2 * t) for q, t in zip(tables["labels"].quality, tables["labels"].toxic, strict=True)})
     shares = np.array([TARGETS[d] for d in names]) / sum(TARGETS[d] for d in names)
-    miss = (rate * tokens) @ p / tokens.sum() - shares
-    start = tokens @ p / tokens.sum() - shares
-    assert np.abs(miss).max() <= max(TOLERANCE, 0.2 * np.abs(start).max())
+    a, best = tokens[:, None] * p / tokens.sum(), np.ones(len(rows))
+    steepest = np.linalg.eigvalsh(a.T @ a).max()
+    for _ in range(20_000):
+        best = np.maximum(0, best - a @ (best @ a - shares) / steepest)
+    miss, least = (np.linalg.norm(x @ a - shares) for x in (rate, best))
+    assert miss <= 1.03 * least + TOLERANCE * len(names) ** 0.5
 
 
 def test_op10_round_trip(spark, sf, tables):
@@ -233,8 +236,7 @@ def test_pipeline(spark, sf, tables):
         shingles[d] = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
     links = [(a, b) for a in wanted for b in wanted if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
     reached = _classes(wanted, links)
-    assert set(reached.values()) <= kept  # the first of each group stays, and no document without a partner goes
-    assert len(kept) <= len(set(reached.values())) + 0.1 * len(links)
+    assert set(reached.values()) == kept  # the first of each group stays, all else of it goes, and no document without a partner
     safe = corpus_pipeline.mask_secrets(spark, unlike, sf)
     assert safe.columns == columns and safe.count() == len(kept)
     for r in safe.collect():
