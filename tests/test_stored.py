@@ -13,7 +13,7 @@ from winnower.functions.signature import bands, signatures
 from winnower.operators.apply import apply_whole
 from winnower.operators.dedup import dedup, dedup_bands, flags_of, compute_bands, read_bands, read_index, write_bands, write_index
 from winnower.operators.merge import MergeSource, check_range, either, merge
-from winnower.operators.similarity import pairwise_similarity, similar_pairs, write_pairs
+from winnower.operators.similarity import pairwise_similarity, similar_classes, similar_pairs, write_pairs
 from winnower.sources.jsonl import check_jsonl, from_table, read_jsonl, read_lines, write_lines
 from winnower.sources.manifest import read_path_list, read_src
 
@@ -226,6 +226,13 @@ def test_similar_pairs_against_brute_force(spark):
             wanted = {(i, j): like(sets[i], sets[j]) for j in range(len(texts)) for i in range(j) if like(sets[i], sets[j]) >= threshold}
             found = {(r.i, r.j): r.similarity for r in similar_pairs(rows, n=3, threshold=threshold).collect()}
             assert found == pytest.approx(wanted)
+            if threshold:
+                classes = [min(k for k, other in enumerate(sets) if other == s) for s in sets]
+                links = {(i, j) for i, j in wanted if classes[i] == i and classes[j] == j}
+                made = similar_classes(rows, n=3, threshold=threshold)
+                assert {(r.i, r.j) for r in made.links.collect()} == links
+                assert {(r.idx, r["class"], r.n_links) for r in made.by_document().collect()} == {(k, c, sum(c in p for p in links)) for k, c in enumerate(classes)}
+        assert not similar_classes(rows, n=3, threshold=1.5).links.count()
         assert similar_pairs(rows, n=3, threshold=1.5).count() == 0
     finally:
         similarity.BLOCK = old

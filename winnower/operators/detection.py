@@ -20,7 +20,7 @@ from ..config import MinHashConfig
 from ..functions.signature import band_values
 from ..staging import written
 from .dedup import explode_bands
-from .similarity import _in_blocks, _nodes, linked_nodes, verified
+from .similarity import _in_blocks, _nodes, linked_nodes, named_nodes, verified
 
 #: Intervals of similarity.
 BINS = 20
@@ -73,14 +73,10 @@ def detect(docs: DataFrame, config: MinHashConfig, *, threshold: float) -> Detec
     checked = verified(shared.select(F.col("i").alias("a"), F.col("j").alias("b")), nodes, docs, config.ngram_size)
     found = checked.join(shared.select(F.col("i").alias("a"), F.col("j").alias("b"), "n_bands"), ["a", "b"])
 
-    def named(pairs: DataFrame, *more: str) -> DataFrame:
-        both = pairs.join(heads.select(F.col("node").alias("a"), F.col("class").alias("p")), "a").join(heads.select(F.col("node").alias("b"), F.col("class").alias("q")), "b")
-        return both.select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), *more)
-
     return Detection(
         members.join(heads, "node").select("idx", "class"),
-        written(named(found, "n_bands", "similarity"), "candidates"),
-        written(named(linked_nodes(nodes, threshold, docs, config.ngram_size), "similarity"), "similar"),
+        written(named_nodes(found, heads), "candidates"),
+        written(named_nodes(linked_nodes(nodes, threshold, docs, config.ngram_size), heads), "similar"),
         config,
         threshold,
     )

@@ -20,7 +20,7 @@ from ..operators.apply import apply_each, apply_whole
 from ..operators.detection import Detection, detect
 from ..operators.dedup import DedupResult, dedup_bands, explode_bands, flags_of, index_entries, read_bands, read_index, split_histogram, write_bands, write_index
 from ..operators.merge import MergeResult, MergeSource, either, merge, merge_tables, write_index_table
-from ..operators.similarity import similar_pairs, write_pairs
+from ..operators.similarity import similar_classes, similar_pairs, write_pairs
 from ..operators.ranks import ranked
 from ..sources.binary import read_flag_file, read_index_files, read_signature_files, write_index_files, write_merged_flags, write_signature_files
 from ..sources.jsonl import from_table, read_jsonl, write_lines
@@ -186,6 +186,12 @@ def pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairwise(spark, sf_dir)
 
 
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of equal n-gram sets and to how many other classes that is similar; copies aren't expanded to pairs."""
+    found = similar_classes(_dealt(spark, sf_dir).withColumnRenamed("doc_id", "idx"), n=5, threshold=0.6).by_document()
+    return found.select(F.col("idx").alias("doc_id"), F.col("class").alias("class_id"), "n_links")
+
+
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of benchmark items: a threshold of 0."""
     rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("idx"), "text")
@@ -370,7 +376,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         short_documents, jsonl_roundtrip, dedup_stored, index_roundtrip, src_roundtrip, signature_band, unique_lines, pairwise_similarity, pair_lines, all_pairs,
         merge_by_band, merge_split_range, merge_composed, merge_stored, dedup_incremental,
         dedup_stream, bucket_ranks, rebanded_flags, merged_flag_files, index_files, text_hashes,
-        band_pairs, band_detection,
+        band_pairs, band_detection, similar_documents,
     )
 }
 
@@ -431,15 +437,17 @@ _JACCARD = f"""WITH g AS (SELECT DISTINCT doc_id, gram FROM ({oracle.gram_rows(5
 c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
 s AS (SELECT doc_a, doc_b, both_have / (x.n + y.n - both_have) AS similarity FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
   UNION ALL SELECT a.doc_id, b.doc_id, 1.0 FROM documents a JOIN documents b ON a.doc_id < b.doc_id AND length(a.text) < 5 AND length(b.text) < 5)"""
-_DETECTED = f"""WITH sets AS (SELECT d.doc_id, coalesce(grams, []) AS grams FROM documents d LEFT JOIN (SELECT doc_id, list(DISTINCT gram ORDER BY gram) AS grams FROM ({oracle.gram_rows(5)}) GROUP BY doc_id) USING (doc_id)),
+_CLASS_PAIRS = f"""g AS (SELECT DISTINCT doc_id, gram FROM ({oracle.gram_rows(5, "class_docs")})),
+c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+s AS (SELECT doc_a, doc_b, both_have / (x.n + y.n - both_have) AS similarity FROM c JOIN heads x ON x.doc_id = doc_a JOIN heads y ON y.doc_id = doc_b)"""
+_CLASSES = f"""WITH sets AS (SELECT d.doc_id, coalesce(grams, []) AS grams FROM documents d LEFT JOIN (SELECT doc_id, list(DISTINCT gram ORDER BY gram) AS grams FROM ({oracle.gram_rows(5)}) GROUP BY doc_id) USING (doc_id)),
 heads AS (SELECT min(doc_id) AS doc_id, any_value(len(grams)) AS n FROM sets GROUP BY grams),
-class_docs AS (SELECT doc_id, n, text FROM heads JOIN documents USING (doc_id)),
+class_docs AS (SELECT doc_id, n, text FROM heads JOIN documents USING (doc_id))"""
+_DETECTED = f"""{_CLASSES},
 {oracle.signatures(5, DETECTING.total_hashes, "class_docs")},
 bucket AS (SELECT doc_id, seed // {DETECTING.band_size} AS bucket_idx, list(hash ORDER BY seed) AS v FROM signature GROUP BY 1, 2),
 shared AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS n_bands FROM bucket a JOIN bucket b ON a.bucket_idx = b.bucket_idx AND a.v = b.v AND a.doc_id < b.doc_id GROUP BY 1, 2),
-g AS (SELECT DISTINCT doc_id, gram FROM ({oracle.gram_rows(5, "class_docs")})),
-c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
-s AS (SELECT doc_a, doc_b, both_have / (x.n + y.n - both_have) AS similarity FROM c JOIN heads x ON x.doc_id = doc_a JOIN heads y ON y.doc_id = doc_b),
+{_CLASS_PAIRS},
 found AS (SELECT doc_a, doc_b, n_bands, coalesce(similarity, 0.0::DOUBLE) AS similarity FROM shared LEFT JOIN s USING (doc_a, doc_b))"""
 _GRAMS = "list_transform(range(1, length(text) - 3), lambda i: substring(text, i, 5))"
 
@@ -463,6 +471,10 @@ ORACLE_SQL: dict[str, str] = {
 SELECT bin, coalesce(n, 0) AS n_candidates, n_similar, expected_rate FROM (SELECT CAST(floor(similarity * 20) AS INTEGER) AS bin, count(*) AS n FROM found GROUP BY 1)
 FULL JOIN (SELECT CAST(floor(similarity * 20) AS INTEGER) AS bin, count(*) AS n_similar, round(avg(1 - pow(1 - pow(similarity, {DETECTING.band_size}), {DETECTING.num_buckets})), 6) AS expected_rate
   FROM s WHERE similarity >= 0.6 GROUP BY 1) USING (bin)""",
+    "similar_documents": f"""{_CLASSES},
+{_CLASS_PAIRS},
+links AS (SELECT class_id, count(*) AS n FROM (SELECT unnest([doc_a, doc_b]) AS class_id FROM s WHERE similarity >= 0.6) GROUP BY 1)
+SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY grams) AS class_id FROM sets) LEFT JOIN links USING (class_id)""",
     "pairwise_similarity": f"{_JACCARD}\nSELECT similarity, 'd' || doc_a AS id_a, 'd' || doc_b AS id_b FROM s WHERE similarity >= 0.8",
     "all_pairs": f"""WITH g AS (SELECT DISTINCT item_id, gram FROM ({oracle.gram_rows(5, "benchmark", "item_id")})), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY item_id),
 c AS (SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.item_id < b.item_id GROUP BY 1, 2)
