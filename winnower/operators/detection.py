@@ -67,8 +67,9 @@ def detect(docs: DataFrame, config: MinHashConfig, *, threshold: float) -> Detec
     docs = docs.select("idx", "text")
     nodes, members = _nodes(docs, config.ngram_size, threshold)
     heads = nodes.select("node", F.col("idx").alias("class"))
-    texts = docs.join(nodes.select("idx", "node"), "idx")
-    banded = written(texts.select("node", band_values("text", config).alias("bands")), "class-bands")
+    # Texts are hashed where they are read, copies too: what is joined to the classes is narrow.
+    hashed = written(docs.select("idx", band_values("text", config).alias("bands")), "bands")
+    banded = written(hashed.join(nodes.select("idx", "node"), "idx").select("node", "bands"), "class-bands")
     shared = written(band_candidates(banded, "node"), "band-candidates")
     checked = verified(shared.select(F.col("i").alias("a"), F.col("j").alias("b")), nodes, docs, config.ngram_size)
     found = checked.join(shared.select(F.col("i").alias("a"), F.col("j").alias("b"), "n_bands"), ["a", "b"])
