@@ -1,7 +1,8 @@
 """MinHash signatures and band values over character n-grams.
 
-The hash family is seeded XXH3-64, which Spark lacks, so this is an Arrow function. It hashes each distinct n-gram
-of a chunk once for each seed and takes the minima of documents by gathering: texts share most of their n-grams.
+The hash family is seeded XXH3-64, which Spark lacks, so this is an Arrow function. With many seeds it hashes each distinct n-gram
+of a chunk once for each seed and takes the minima of documents by gathering: texts share most of their n-grams. With few it
+hashes every n-gram, for telling them apart would take longer.
 Unsigned 64-bit values travel as the signed longs of the same bits.
 """
 
@@ -21,12 +22,18 @@ from .xxh3 import Rows
 MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: n-grams of texts that are hashed at once: tables of this size stay in a core's cache.
 CHUNK_GRAMS = 500_000
+#: Hashes of a signature up to which n-grams aren't told apart, and n-grams that are hashed at once then.
+FEW_HASHES = 32
+FEW_GRAMS = 100_000
+#: Texts of a batch that are hashed before the next are taken from it.
+ROWS_AT_ONCE = 1024
 #: Bytes of values of one length that are hashed together.
 HASH_BYTES = 4 << 20
 
 
-def _chunk_grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, list[Rows]]:
-    """(text, n-gram) numbers of each n-gram of a text once, texts together, and the n-grams by length in bytes."""
+def _chunk_grams(texts: list[bytes], n: int, distinct: bool = True) -> tuple[np.ndarray, np.ndarray, list[Rows]]:
+    """(text, n-gram) numbers of each n-gram of a text once, texts together, and the n-grams by length in bytes; without
+    ``distinct`` each as often as it stands there, under numbers of their own."""
     nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), []
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -44,6 +51,11 @@ def _chunk_grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, li
     for size in np.unique(length).tolist():
         at = np.flatnonzero(length == size)
         rows = data[low[at][:, None] + np.arange(size)]
+        if not distinct:
+            tables.append(Rows(rows))
+            ids[at] = count + np.arange(len(at))
+            count += len(at)
+            continue
         if size <= 8:
             packed = np.zeros((len(at), 8), np.uint8)
             packed[:, :size] = rows
@@ -54,6 +66,8 @@ def _chunk_grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, li
         tables.append(Rows(rows[first]))
         ids[at] = count + inverse.reshape(-1)
         count += len(first)
+    if not distinct:
+        return owner, ids, tables
     pairs = np.unique(owner * count + ids)
     return pairs // count, pairs % count, tables
 
@@ -69,24 +83,28 @@ def _table_digests(tables: list[Rows], seed: int, out: np.ndarray) -> np.ndarray
 def _chunk_signatures(texts: list[bytes], config: MinHashConfig) -> np.ndarray:
     """(texts, total_hashes) minima; MAX where a text has no n-gram."""
     out = np.full((len(texts), config.total_hashes), MAX, np.uint64)
-    owner, ids, tables = _chunk_grams(texts, config.ngram_size)
+    few = config.total_hashes <= FEW_HASHES
+    owner, ids, tables = _chunk_grams(texts, config.ngram_size, not few)
     if not len(ids):
         return out
     begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     rows_of = owner[begin]
     hashes, gathered = np.empty(sum(t.n for t in tables), np.uint64), np.empty(len(ids), np.uint64)
     for seed in range(config.total_hashes):
-        np.take(_table_digests(tables, seed, hashes), ids, out=gathered, mode="clip")
+        if few and len(tables) == 1:  # then numbers are places
+            gathered = tables[0].digest(seed)
+        else:
+            np.take(_table_digests(tables, seed, hashes), ids, out=gathered, mode="clip")
         out[rows_of, seed] = np.minimum.reduceat(gathered, begin)
     return out
 
 
-def _chunks(texts: list[str]) -> Iterator[list[bytes]]:
+def _chunks(texts: list[str], grams: int = CHUNK_GRAMS) -> Iterator[list[bytes]]:
     held, size = [], 0
     for t in texts:
         held.append(t.encode())
         size += len(held[-1])
-        if size >= CHUNK_GRAMS:
+        if size >= grams:
             yield held
             held, size = [], 0
     if held:
@@ -104,9 +122,16 @@ def gram_hash_sets(texts: list[str], n: int) -> list[np.ndarray]:
     return out
 
 
+def counted_grams(texts: list[str], n: int) -> tuple[list[bytes], np.ndarray]:
+    """The distinct n-grams of a chunk of texts as UTF-8, and how many of the texts have each."""
+    _, ids, tables = _chunk_grams([t.encode() for t in texts], n)
+    return [row.tobytes() for t in tables for row in t.data], np.bincount(ids, minlength=sum(t.n for t in tables))
+
+
 def signatures(texts: list[str], config: MinHashConfig) -> np.ndarray:
     """(texts, total_hashes) of unsigned minima."""
-    parts = [_chunk_signatures(part, config) for part in _chunks(texts)]
+    grams = FEW_GRAMS if config.total_hashes <= FEW_HASHES else CHUNK_GRAMS
+    parts = [_chunk_signatures(part, config) for part in _chunks(texts, grams)]
     return np.concatenate(parts) if parts else np.zeros((0, config.total_hashes), np.uint64)
 
 
@@ -114,7 +139,7 @@ def bands(found: np.ndarray, config: MinHashConfig) -> np.ndarray:
     """(texts, num_buckets) digests of each band's hashes as little-endian bytes."""
     rows, b = len(found), config.band_size
     out = np.zeros((rows, config.num_buckets), np.uint64)
-    raw = np.ascontiguousarray(found.astype("<u8")).view(np.uint8).reshape(rows, -1) if found.size else np.zeros((rows, 0), np.uint8)
+    raw = np.ascontiguousarray(found, "<u8").view(np.uint8).reshape(rows, -1) if found.size else np.zeros((rows, 0), np.uint8)
     for k in range(config.num_buckets):
         out[:, k] = Rows(raw[:, 8 * b * k : 8 * b * (k + 1)]).digest(0)
     return out
@@ -126,10 +151,15 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), flat)
 
 
+def _pieces(part: pa.Array) -> Iterator[pa.Array]:
+    """A batch in pieces of ROWS_AT_ONCE rows: what a worker holds beside the batch doesn't grow with it."""
+    return (part.slice(low, ROWS_AT_ONCE) for low in range(0, len(part), ROWS_AT_ONCE))
+
+
 def _udf(make):
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            yield _lists(make(part.to_pylist()))
+            yield pa.concat_arrays([_lists(make(piece.to_pylist())) for piece in _pieces(part)] or [pa.array([], pa.list_(pa.int64()))])
 
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, ArrayType(LongType()))
