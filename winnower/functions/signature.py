@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -122,10 +122,27 @@ def gram_hash_sets(texts: list[str], n: int) -> list[np.ndarray]:
     return out
 
 
-def counted_grams(texts: list[str], n: int) -> tuple[list[bytes], np.ndarray]:
-    """The distinct n-grams of a chunk of texts as UTF-8, and how many of the texts have each."""
-    _, ids, tables = _chunk_grams([t.encode() for t in texts], n)
-    return [row.tobytes() for t in tables for row in t.data], np.bincount(ids, minlength=sum(t.n for t in tables))
+def _strings(rows: np.ndarray) -> pa.Array:
+    """Rows of equal length in UTF-8."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.StringArray.from_buffers(len(rows), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows)))
+
+
+def gram_counts(texts: DataFrame, n: int) -> DataFrame:
+    """gram and n_docs, the rows of ``texts`` (text) that have it: n-grams are told apart and counted in chunks of texts first, which share
+    most of them, so what is moved are a chunk's distinct n-grams. Null texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _pieces(batch.column(0).drop_null()):
+                for part in _chunks(piece.to_pylist()):
+                    _, ids, tables = _chunk_grams(part, n)
+                    counts, at = np.bincount(ids, minlength=1), 0
+                    for t in tables:
+                        yield pa.RecordBatch.from_arrays([_strings(t.data), pa.array(counts[at : at + t.n])], names=["gram", "n"])
+                        at += t.n
+
+    return texts.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n_docs"))
 
 
 def signatures(texts: list[str], config: MinHashConfig) -> np.ndarray:
