@@ -66,3 +66,39 @@ def test_texts_whose_hashes_share_a_half_stay_apart(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = sorted(r.doc_id for r in simhash.drop_similar(rows).collect())
     assert kept == [0, 3, 5, 6]
+
+
+@pytest.mark.parametrize("part", [8, 1])
+def test_candidates_of_a_passage_grow_no_faster_than_the_texts(spark, monkeypatch, part):
+    """Texts of 700 words, a tenth of them with one passage and each fortieth with a near copy, and a crowd made of six passages alone, in tables
+    of 400 and 2,000: no more candidates for each text in the larger one, whether the order of shingles knows passages or none, and
+    every link is found."""
+    made, met, wanted = [], simhash._verified, []
+
+    def counted(pairs, nodes, texts):
+        made[-1] += pairs.count()
+        return met(pairs, nodes, texts)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    monkeypatch.setattr(simhash, "ORDER_ROWS", 20)
+    if part == 1:
+        monkeypatch.setattr(simhash, "MAX_COMMON", 0)
+    for n in (400, 2000):
+        rng = np.random.default_rng(n)
+        passage = [f"p{x}" for x in range(80)]
+        texts = []
+        for i in range(n):
+            words = [f"w{i}x{x}" for x in range(700)]
+            if i % 10 == 0:
+                words[100:180] = passage
+            texts.append(words)
+            if i % 40 == 0:
+                texts.append([*words[:300], "other", *words[301:]])
+        for i in range(n // 10):  # alike in over half of their words, and not linked
+            texts.append([w for b in rng.permutation(6) for w in [f"q{b}y{x}" for x in range(70)]] + [f"v{i}x{x}" for x in range(280)])
+        wanted.append(n + n // 10)
+        made.append(0)
+        rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(5)
+        found = simhash.similar_groups(rows).select("component").distinct().count()
+        assert found == wanted[-1]
+    assert made[1] <= 6 * max(made[0], 100), made

@@ -234,13 +234,20 @@ EPSILON = 1e-9
 #: Longs of a sketch. Groups of more rows than CROWD are first linked by a forest.
 SKETCH = 4
 CROWD = 16
-#: Contents (in expectation) by which common shingles are told, in how many of these such a one is, and how many are kept. They set
-#: the order of shingles, which any order may be: no pair depends on them.
+#: Groups of more rows than FEW compare wide sketches of so many longs too: a short one rules out no two texts of 600 shingles, and
+#: pairs grow with the square of a group. Smaller groups put out less than FEW / 2 pairs for each row.
+FEW = 4
+WIDE = 32
+#: Contents (in expectation) by which common shingles are told, one in ORDER_PART of a larger table's, in how many of these such a
+#: one is, and how many are kept at most, the most common ones. They set the order of shingles, which any order may be: no pair
+#: depends on them. The part grows with the table, for what a fixed number of contents misses is met by ever more texts.
 ORDER_ROWS = 8192
-COMMON = 8
-MAX_COMMON = 50_000
-#: Pairs that are put out at once.
+ORDER_PART = 8
+COMMON = 3
+MAX_COMMON = 250_000
+#: Pairs that are put out at once, and pairs of wide sketches.
 PAIRS_AT_ONCE = 500_000
+WIDE_AT_ONCE = 16_384
 
 
 #: Contents whose hashes' first halves are broadcast at most: 8 MB. More are joined by a shuffle of the texts.
@@ -299,7 +306,7 @@ def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def _prepared(common: np.ndarray, counts: np.ndarray):
-    """(doc_id, text) to doc_id, key (the hash of its words), fingerprint, size, sketch and prefix."""
+    """(doc_id, text) to doc_id, key (the hash of its words), fingerprint, size, sketches and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(low, 1000) for b in batches for low in range(0, b.num_rows, 1000)):
@@ -309,8 +316,8 @@ def _prepared(common: np.ndarray, counts: np.ndarray):
             sets = [np.unique(x.view(np.int64)) for x in hashes]
             bits = np.array([sketch(x, 64 * SKETCH).view(np.int64) for x in sets], np.int64).reshape(-1, SKETCH)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _contents(texts), pa.array(prints), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(bits[:, i].copy()) for i in range(SKETCH)), pa.array([long_sketch(x) for x in sets], pa.binary()), pa.array([prefix(x, common, counts) for x in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "key", "fp", "size", *SKETCH_COLUMNS, "bits", "prefix"],
+                [batch.column(0), _contents(texts), pa.array(prints), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(bits[:, i].copy()) for i in range(SKETCH)), pa.array([sketch(x, 64 * WIDE).tobytes() for x in sets], pa.binary()), pa.array([long_sketch(x) for x in sets], pa.binary()), pa.array([prefix(x, common, counts) for x in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "key", "fp", "size", *SKETCH_COLUMNS, "wide", "bits", "prefix"],
             )
 
     return run
@@ -319,39 +326,53 @@ def _prepared(common: np.ndarray, counts: np.ndarray):
 SKETCH_COLUMNS = [f"sketch{i}" for i in range(SKETCH)]
 
 
-def _near(rows: np.ndarray, i, j) -> np.ndarray:
-    """Whether the rows (component, node, size, rank, sketch) at i and j aren't connected yet and may be similar: by size, by
-    what lies behind the shingle where they meet, in both sets (enough, if it is the first that they share), and by sketch."""
+def _near(rows: np.ndarray, wide: np.ndarray | None, i, j) -> np.ndarray:
+    """Whether the rows (component, node, size, rank, sketch) at i and j aren't connected yet and may be similar: by size, by what
+    lies behind the shingle where they meet, in both sets (enough, if it is the first that they share), by sketch and by wide ones."""
     a, b = rows[i], rows[j]
     size, other = a[..., 2], b[..., 2]
     may = (a[..., 0] != b[..., 0]) & (np.minimum(size, other) >= SIMILARITY * np.maximum(size, other) - EPSILON)
     may &= np.minimum(size - a[..., 3], other - b[..., 3]) >= (size + other) * (SIMILARITY / (1 + SIMILARITY)) - EPSILON
-    apart = _popcount((a[..., 4:] ^ b[..., 4:]).view(np.uint64)).sum(axis=-1, dtype=np.int64)
-    return may & (apart <= (size + other) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + EPSILON)
+    most = (size + other) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + EPSILON
+    may &= _apart(a[..., 4:], b[..., 4:]) <= most
+    if wide is not None:
+        left = np.flatnonzero(may)
+        i, j = (np.broadcast_to(np.arange(len(rows))[x], may.shape) for x in (i, j))
+        for some in (left[low : low + WIDE_AT_ONCE] for low in range(0, len(left), WIDE_AT_ONCE)):
+            may[some] = _apart(wide[i[some]], wide[j[some]]) <= most[some]
+    return may
 
 
-def _pairs(rows: np.ndarray, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits sketches differ."""
+    return _popcount((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+
+
+def _pairs(rows: np.ndarray, wide: np.ndarray | None, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of one group's rows that may be similar: all pairs, or a spanning forest of them."""
     if not forest:
         for x in range(len(rows) - 1):
-            yield np.array([x]), x + 1 + np.flatnonzero(_near(rows, x, slice(x + 1, None)))
+            yield np.array([x]), x + 1 + np.flatnonzero(_near(rows, wide, x, slice(x + 1, None)))
         return
     left = np.arange(len(rows))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            hit = _near(rows, x, left)
+            hit = _near(rows, wide, x, left)
             yield np.array([x]), left[hit]
             queue += left[hit].tolist()
             left = left[~hit]
 
 
 def _candidates(forest: bool):
-    """Rows (shingle, i, j, component, node, size, rank, sketch), each group's together, to pairs of nodes that may be similar."""
+    """Rows (shingle, i, j, component, node, size, rank, sketch, and the wide one's bytes or nothing), each group's together, to pairs of
+    nodes that may be similar."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(key: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def flush(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+            key, rows = values[:, :3], values[:, 3 : 7 + SKETCH].copy()
+            wide = values[:, 7 + SKETCH :].copy() if values.shape[1] > 7 + SKETCH else None
             bounds = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
             sizes = np.diff(np.append(bounds, len(rows)))
             a, b, held = [], [], 0
@@ -369,13 +390,13 @@ def _candidates(forest: bool):
             small = np.repeat(sizes <= CROWD, sizes)
             for shift in range(1, int(min(CROWD, sizes.max()))):  # pairs at this distance in the sorted rows
                 x = np.flatnonzero((key[shift:] == key[:-shift]).all(axis=1) & small[shift:])
-                x = x[_near(rows, x, x + shift)]
+                x = x[_near(rows, wide, x, x + shift)]
                 held += put(x, x + shift)
             for low, n in zip(bounds[sizes > CROWD].tolist(), sizes[sizes > CROWD].tolist(), strict=True):
                 own = rows[low : low + n]
                 if (own[:, 0] == own[0, 0]).all():
                     continue
-                for x, y in _pairs(own, forest):
+                for x, y in _pairs(own, None if wide is None else wide[low : low + n], forest):
                     held += put(low + x, low + y)
                     if held > PAIRS_AT_ONCE:
                         yield out()
@@ -387,7 +408,10 @@ def _candidates(forest: bool):
 
         kept = None
         for batch in batches:
-            values = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            values = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[: 7 + SKETCH]], axis=1)
+            if batch.num_columns > 7 + SKETCH:
+                wide = np.frombuffer(b"".join(batch.column(7 + SKETCH).to_pylist()), np.int64).reshape(-1, WIDE)
+                values = np.concatenate([values, wide], axis=1)
             if kept is not None:
                 values = np.concatenate([kept, values])
             if not len(values):
@@ -396,24 +420,31 @@ def _candidates(forest: bool):
             last = int(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))[-1])
             kept = values[last:]
             if last:
-                yield from flush(key[:last], values[:last, 3:])
+                yield from flush(values[:last])
         if kept is not None:
-            yield from flush(kept[:, :3], kept[:, 3:])
+            yield from flush(kept)
 
     return compare
 
 
-def _dealt(prefixes: DataFrame, nodes: DataFrame, least: int, block: int) -> DataFrame:
-    """Rows of shingles in prefixes of ``least`` nodes or more and of two components, as _candidates() reads them. Groups beyond a block are
-    dealt to pairs of blocks."""
+def _met(prefixes: DataFrame, nodes: DataFrame, least: int, block: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of nodes that may be similar and share a shingle which ``least`` nodes or more, of two components, have in their prefixes.
+    Groups beyond a block are dealt to pairs of blocks."""
     known = prefixes.join(nodes.select("content", "component"), "content")
+    made = "a long, b long"
     crowds = known.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
-    met = prefixes.join(crowds.filter((F.col("n") >= least) & (F.col("x") != F.col("y"))).select("shingle", "n"), "shingle")
+    crowds = staged(crowds.filter((F.col("n") >= least) & (F.col("x") != F.col("y"))).select("shingle", "n"), "met")
+    columns = ["shingle", "i", "j", "component", F.col("content").alias("node"), "size", "rank", *SKETCH_COLUMNS]
+    each = lambda rows, more: rows.join(nodes, "content").select(*columns, *more).repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "node")
     parts = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("content"), parts).cast("int")
-    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "content", "rank")
-    rows = dealt.join(nodes, "content").select("shingle", "i", "j", "component", F.col("content").alias("node"), "size", "rank", *SKETCH_COLUMNS)
-    return rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "node")
+    many = prefixes.join(crowds.filter(F.col("n") > FEW), "shingle").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = many.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "content", "rank")
+    found = each(dealt, ["wide"]).mapInArrow(_candidates(forest), made)
+    if least > FEW:
+        return found
+    few = prefixes.join(crowds.filter(F.col("n") <= FEW), "shingle").select("shingle", F.lit(0).alias("i"), F.lit(0).alias("j"), "content", "rank")
+    return found.unionByName(each(few, []).mapInArrow(_candidates(forest), made))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,13 +458,23 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) that many of the texts have, as far as ORDER_ROWS contents tell, and their counts."""
-    part = min(1_000_000, int(1_000_000 * ORDER_ROWS / max(1, texts.count())))
+    """Shingles (sorted) that many of the texts have, as far as a part of the contents tells, and their counts."""
+    part = min(1_000_000, max(int(1_000_000 * ORDER_ROWS / max(1, texts.count())), 1_000_000 // ORDER_PART))
     told = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part).distinct()
     counts = with_column(told, "text", "found", ArrayType(LongType()), _shingle_sets).select(F.explode("found").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
-    found = counts.orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).collect()
-    pairs = np.array(sorted((r.shingle, r.n) for r in found), np.int64).reshape(-1, 2)
-    return pairs[:, 0].copy(), pairs[:, 1].copy()
+    counts = staged(counts, "common")
+    # The least count that not more than MAX_COMMON have or exceed; counts beyond COMMON * ORDER_ROWS are told as one.
+    levels = counts.groupBy(F.least("n", F.lit(COMMON * ORDER_ROWS)).alias("n")).agg(F.count("*").alias("shingles")).collect()
+    least, kept = COMMON * ORDER_ROWS + 1, 0
+    for n, shingles_of in sorted(levels, reverse=True):
+        kept += shingles_of
+        if kept > MAX_COMMON:
+            break
+        least = n
+    found = counts.filter(F.col("n") >= least).toArrow()
+    shingle, n = (found.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, block: int = BLOCK) -> DataFrame:
@@ -448,18 +489,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     columns = ", ".join(f"{c} long" for c in ["fp", "size", *SKETCH_COLUMNS])
-    rows = texts.mapInArrow(_prepared(*common_shingles(texts.select("text"))), f"doc_id long, key array<long>, {columns}, bits binary, prefix array<long>")
+    rows = texts.mapInArrow(_prepared(*common_shingles(texts.select("text"))), f"doc_id long, key array<long>, {columns}, wide binary, bits binary, prefix array<long>")
     # Numbers of contents, fixed by being written.
     nodes = staged(rows.drop("doc_id").dropDuplicates(["key"]).withColumn("content", F.monotonically_increasing_id()), "contents")
     prints = staged(with_column(texts, "text", "key", CONTENT, _contents).drop("text"), "similar")
     every = nodes.select("content", F.posexplode("prefix").alias("rank", "shingle"))
     prefixes = staged(every.join(every.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle"), "shingle"), "prefixes")
-    alone = nodes.select("content", F.col("content").alias("component"), "size", *SKETCH_COLUMNS)
-    first = _dealt(prefixes, alone, CROWD + 1, block).mapInArrow(_candidates(True), "a long, b long")
+    alone = nodes.select("content", F.col("content").alias("component"), "size", *SKETCH_COLUMNS, "wide")
+    first = _met(prefixes, alone, CROWD + 1, block, True)
     near = _verified(first.unionByName(_near_prints(nodes, block)), nodes, texts)
     crowds = staged(components(near), "crowds").withColumnRenamed("node", "content")
     joined = alone.drop("component").join(crowds, "content", "left").withColumn("component", F.coalesce("component", "content"))
-    links = _verified(_dealt(prefixes, staged(joined, "joined"), 2, block).mapInArrow(_candidates(False), "a long, b long"), nodes, texts)
+    links = _verified(_met(prefixes, staged(joined, "joined"), 2, block, False), nodes, texts)
     groups = components(near.unionByName(links))
     known = nodes.select("key", "content").join(groups.withColumnRenamed("node", "content"), "content", "left")
     return prints.join(known, "key").select("doc_id", "key", "content", F.coalesce("component", "content").alias("component"))
