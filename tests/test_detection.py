@@ -95,3 +95,19 @@ def test_no_documents_one_document_and_no_bands(spark):
     docs = spark.createDataFrame([(0, "one text of some words"), (1, "another text of words")], "idx long, text string")
     assert not detect(docs, MinHashConfig(5, 0, 2), threshold=0.6).candidates.count()
     assert [r.n_bands for r in detect(docs, MinHashConfig(5, 3, 0), threshold=0.6).candidates.collect()] == [3]
+
+
+def test_candidates_are_found_without_all_similar_pairs(spark, monkeypatch):
+    """Nor are sketches or rare n-grams made for them; both parts are right in either order."""
+    from winnower.operators import detection
+
+    texts = _texts()
+    _, pairs = _brute(texts, CONFIG)
+    docs = spark.createDataFrame(list(enumerate(texts)), "idx long, text string")
+    linked, asked = detection.linked_nodes, []
+    monkeypatch.setattr(detection, "linked_nodes", lambda nodes, *rest: asked.append(nodes.columns) or linked(nodes, *rest))
+    found = detect(docs, CONFIG, threshold=0.5)
+    assert {(r.i, r.j): r.n_bands for r in found.candidates.collect()} == {p: n for p, (n, _) in pairs.items() if n}
+    assert not asked
+    assert {(r.i, r.j) for r in found.similar.collect()} == {p for p, (_, s) in pairs.items() if s >= 0.5}
+    assert len(asked) == 1
