@@ -54,3 +54,32 @@ def test_counts_of_grams(spark, n):
     found = gram_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), n)
     plan = found._jdf.queryExecution().toString()
     assert {r.gram: r.n_docs for r in found.collect()} == wanted and "Generate" not in plan
+
+
+@pytest.mark.parametrize("looked_at", [16, 0.02])  # with the latter most minima are missed at first
+@pytest.mark.parametrize("letters", ["abcdefgh ", "abé€\U0001f600日 ", "".join(chr(0x4E00 + i) for i in range(9000))])
+def test_minima_of_texts_of_all_classes(monkeypatch, looked_at, letters):
+    """Texts of every class of size, some with most n-grams in common, one class without a text and texts without an n-gram."""
+    monkeypatch.setattr(signature, "CLASSES", (0, 8, 30, 100, 5000))
+    monkeypatch.setattr(signature, "LOOKED_AT", looked_at)
+    monkeypatch.setattr(signature, "HASHED_ROWS", 70)
+    rng = random.Random(9)
+    base = "".join(rng.choice(letters) for _ in range(400))
+    texts = ["", "abc", *(base[i : i + size] for i, size in enumerate((5, 6, 11, 12, 29, 34, 35, 90, 104, 105, 300, 300)))]
+    grams = [{t[i : i + 5].encode() for i in range(len(t) - 4)} for t in texts]
+    wanted = [[min((digest(g, seed) for g in own), default=2**64 - 1) for seed in range(40)] for own in grams]
+    assert signatures(texts, MinHashConfig(5, 10, 4)).tolist() == wanted
+
+
+def test_few_n_grams_are_looked_at(monkeypatch):
+    """Of texts that share their n-grams each is hashed once for a seed, and few of a text's are looked at."""
+    rng, hashed, looked = random.Random(2), [], []
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(700)) for _ in range(60)]
+    of, ranges = signature._table_digests, signature._ranges
+    monkeypatch.setattr(signature, "_table_digests", lambda tables, seed, out: hashed.append(len(out)) or of(tables, seed, out))
+    monkeypatch.setattr(signature, "_ranges", lambda low, many: looked.append(int(many.sum())) or ranges(low, many))
+    grams = [len({t[i : i + 5] for i in range(len(t) - 4)}) for t in texts]
+    signatures(texts, MinHashConfig(5, 10, 10))
+    assert max(hashed) == len({t[i : i + 5] for t in texts for i in range(len(t) - 4)}) and len(hashed) == 100
+    assert sum(looked[1:]) < 100 * sum(grams) / 5
